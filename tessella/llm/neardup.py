@@ -16,6 +16,10 @@ from tessella.llm.shingles import bands, shingle_sets, sketch
 BANDS, ROWS = 30, 6
 #: Up to so many candidate ids (8 bytes each) are broadcast to the second scan; beyond that it is a shuffled join.
 BROADCAST_IDS = 500_000
+#: Members of a centre's component that those outside it are compared with, before all members are.
+EXTRA = 8
+#: Members, and members outside the centre's component, that a task compares at a time.
+BLOCK_MEMBERS, BLOCK_OUTSIDE = 512, 256
 
 
 def fingerprints(docs: DataFrame, text: str, id_col: str, width: int = 5) -> DataFrame:
@@ -40,19 +44,51 @@ def _sets(docs: DataFrame, text: str, id_col: str, width: int, kind: str) -> Dat
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.iloc[lo : lo + 256]
-                yield pd.DataFrame({"doc_id": part["__i"], "items": [s.view(np.int64) for s in shingle_sets(list(part["__t"]), width)]})
+                yield pd.DataFrame({"doc_id": part["__i"], "items": [np.sort(s.view(np.int64)) for s in shingle_sets(list(part["__t"]), width)]})
 
     return docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__t")).mapInPandas(run, f"doc_id {kind}, items array<long>")
 
 
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) between a bucket's members outside its centre's component and all its members of other
+    components. A bucket is cut into a grid of blocks, so neither a bucket nor its pairs meet in one place;
+    a task gives out confirmed links only."""
+    rest = members.filter("doc_id <> center")
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("o")).filter("o > 0 AND n > 1")
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("long")
+    rows = rest.join(sizes.select("bucket", blocks("n", BLOCK_MEMBERS).alias("nm"), blocks("o", BLOCK_OUTSIDE).alias("no")), "bucket")
+    own_m, own_o = F.pmod(F.xxhash64("doc_id"), F.col("nm")), F.pmod(F.xxhash64("doc_id"), F.col("no"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asked = rows.filter("component <> main").select("bucket", "doc_id", "component", F.lit(True).alias("asks"), own_o.alias("o"), F.explode(every("nm")).alias("m"))
+    held = rows.select("bucket", "doc_id", "component", F.lit(False).alias("asks"), own_m.alias("m"), F.explode(every("no")).alias("o"))
+    whole = asked.unionByName(held).join(sets, "doc_id")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        asks = g["asks"].to_numpy()
+        ids, comps, items = g["doc_id"].to_numpy()[~asks], g["component"].to_numpy()[~asks], [np.asarray(x) for x in g["items"][~asks]]
+        out = []
+        if items and asks.any():
+            size = np.array([len(x) for x in items])
+            flat, starts = np.concatenate(items), np.concatenate([[0], np.cumsum(size)[:-1]])
+            for i, c, x in zip(g["doc_id"][asks], g["component"][asks], g["items"][asks], strict=True):
+                x = np.asarray(x)
+                at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+                common = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
+                near = (common * 100 >= (size + len(x) - common) * percent) & (comps != c)
+                out += [(i, j) for j in ids[near]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return whole.groupBy("bucket", "m", "o").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 85, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Rows are linked when 100 * |intersection| >= percent * |union| of their shingle sets. Equal sets meet by
     a digest first, so copies cost one row per task. Of the other sets those in a common band are
-    candidates; each bucket is a star around its best connected member, and only members that the star
-    leaves in another component are compared with the bucket's other members. Every link is confirmed on
-    full sets. Work on the sets is limited to candidates.
+    candidates; each bucket is a star around its best connected member. Members that the star leaves in
+    another component meet eight more members of the star, and those still outside meet all other
+    members, in blocks. Every link is confirmed on full sets. Work on the sets is limited to candidates.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows that
     share an id count as one document; rows with a null id are linked with nothing and kept. Other
@@ -85,14 +121,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     first = links(star).checkpoint()
     labels = components(first)
 
-    held = members.select("bucket", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    main = center.select("bucket", F.col("a").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", F.coalesce("component", "doc_id").alias("main"), F.col("doc_id").alias("center"))
-    open_ = held.join(main, "bucket").checkpoint()
-    outside = open_.filter("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    # the centre has been compared already
-    others = open_.filter("doc_id <> center").select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    rest = outside.join(others, "bucket").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
-    labels = components(first.unionByName(links(rest)))
+    def state(found: DataFrame) -> DataFrame:
+        """Members with their component, and with the bucket's centre and its component."""
+        named = found.withColumnRenamed("node", "doc_id")
+        held = members.select("bucket", "doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        main = center.select("bucket", F.col("a").alias("doc_id")).join(named, "doc_id", "left").select("bucket", F.coalesce("component", "doc_id").alias("main"), F.col("doc_id").alias("center"))
+        return held.join(main, "bucket")
+
+    # members outside the centre's component meet some more of its members; each is a grouping, not a ranking
+    open_ = state(labels).checkpoint()
+    outside = open_.filter("component <> main").select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
+    inside = open_.filter("component = main AND doc_id <> center")
+    picks = inside.groupBy("bucket").agg(F.array(*(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")), F.xxhash64("doc_id", F.lit(k))) for k in range(EXTRA))).alias("p"))
+    more = outside.join(picks, "bucket").select("b", "nb", F.explode(F.array_distinct("p")).alias("p")).select("p.a", "p.na", "b", "nb")
+    second = first.unionByName(links(more)).checkpoint()
+    labels = components(second)
+
+    # what is still outside is compared with all other members of its buckets, in blocks inside tasks
+    final = second.unionByName(_block_links(state(labels).checkpoint(), sets, percent, kind))
+    labels = components(final)
 
     of_rep = reps.select("digest", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("__c"))
     rows = prints.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
