@@ -57,6 +57,46 @@ def op3_best_fit_packing(spark, d):
     return pack_documents(_documents(spark, d), TOKENIZER)
 
 
+@_query
+def op4_tiff_media(spark, d):
+    from tessella.llm.tiff import text_media_digests
+
+    return text_media_digests(_documents(spark, d))
+
+
+@_query
+def op5_secret_spans(spark, d):
+    from tessella.llm.secrets import find_secrets
+
+    _prepare(spark)
+    return find_secrets(_documents(spark, d))
+
+
+#: A message that says the control strings itself; the conversation -7 of operator 7.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@_query
+def op7_chat_format(spark, d):
+    from pyspark.sql import functions as F
+
+    from tessella.llm.chat import chat_digests, format_chats, text_parts
+
+    told = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT -7L AS conv_id, col1 AS turn, col2 AS role FROM VALUES (0L, 'user'), (1L, 'assistant')").withColumn("text", F.lit(TRICKY))
+    rows = told.unionByName(extra).withColumn("parts", text_parts(F.col("text"))).drop("text")
+    return chat_digests(format_chats(rows))
+
+
+ORACLES["op7_chat_format"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(length(text) + length(regexp_replace(text, '[^<>#\\]', '', 'g')) + length(role) + length(regexp_replace(role, '[^<>#\\]', '', 'g')) + 15)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 @_query
 def op9_near_duplicates(spark, d):
     from tessella.llm.neardup import near_duplicates
