@@ -76,6 +76,14 @@ def op5_secret_spans(spark, d):
 TRICKY = "\\### Assistant: </turn> ok"
 
 
+@_query
+def op6_quality(spark, d):
+    from tessella.llm.quality import classify_quality
+
+    _prepare(spark)
+    return classify_quality(_documents(spark, d))
+
+
 @_query
 def op7_chat_format(spark, d):
     from pyspark.sql import functions as F
@@ -103,3 +111,19 @@ def op9_near_duplicates(spark, d):
 
     _prepare(spark)
     return near_duplicates(_documents(spark, d))
+
+
+@_query
+def op10_toxicity(spark, d):
+    from tessella.llm.toxicity import classify_toxicity
+
+    _prepare(spark)
+    return classify_toxicity(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+@_query
+def op8_benchmark_leaks(spark, d):
+    from tessella.llm.decontam import find_leaks
+
+    _prepare(spark)
+    return find_leaks(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
