@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 ITEMS = 4096
 #: Latent dimensions at most; extra columns and power iterations of the randomised decomposition.
 RANK, EXTRA, POWER = 256, 10, 2
-#: Words rarer than one document in 100 are anchors; each item has at least 5. Two different anchors within 48
-#: words open a region. Window lengths in words; hop; least cosine of a candidate.
-ANCHOR, LEAST_ANCHORS, NEAR, WINDOWS, HOP, COSINE = np.log(100), 5, 48, (16, 32, 48, 64), 8, 0.3
+#: Window lengths in words; hop; least cosine of a candidate.
+WINDOWS, HOP, COSINE = (16, 32, 48, 64), 8, 0.3
 #: A candidate is a leak if so much of the item is in it in order, and so much of the item's answer words.
 LCS, ANSWER, ANSWER_WORDS, SHORTEST = 0.6, 0.5, 5, 5
 _MARKS = ".,;:!?\"'()[]{}|*%&#$<>=/\\_~^`«»„“”…"
@@ -57,12 +56,14 @@ class Vocabulary:
     def weigh(self, documents: int, df: np.ndarray) -> None:
         self.idf = np.log((documents + 1) / (df + 1))
         self.unknown = float(np.log(documents + 1))
-        self.anchor = self.idf >= ANCHOR
-        for r in self.rows:
-            own = np.unique(r)
-            if self.anchor[own].sum() < LEAST_ANCHORS:
-                self.anchor[own[np.argsort(-self.idf[own], kind="stable")[:LEAST_ANCHORS]]] = True
         self.answers = [np.unique(r)[np.argsort(-self.idf[np.unique(r)], kind="stable")[:ANSWER_WORDS]] for r in self.rows]
+        self.anchor = np.zeros(len(self.idf), bool)
+        self.holders: dict[int, list[int]] = {}
+        for i, words in enumerate(self.answers):
+            self.anchor[words] = True
+            for w in words.tolist():
+                self.holders.setdefault(w, []).append(i)
+        self.near = max([WINDOWS[-1], *(2 * len(r) for r in self.rows)])
 
 
 def document_counts(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
@@ -131,16 +132,20 @@ class Index:
         self.answer = [set(a.tolist()) for a in vocabulary.answers]
 
     def regions(self, at: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of words with different anchors close together."""
+        """Stretches of words that hold enough of some item's answer words to pass the last check."""
         v = self.vocabulary
         hits = np.flatnonzero((at >= 0) & v.anchor[np.maximum(at, 0)])
         if len(hits) < 2:
             return []
-        cuts = np.flatnonzero(np.diff(hits) > NEAR) + 1
+        cuts = np.flatnonzero(np.diff(hits) > v.near) + 1
         out = []
         for run in np.split(hits, cuts):
-            if len(run) > 1 and (at[run] != at[run[0]]).any():
-                out.append((max(0, int(run[0]) - WINDOWS[1]), min(len(at), int(run[-1]) + WINDOWS[1] + 1)))
+            votes: dict[int, int] = {}
+            for w in set(at[run].tolist()):
+                for i in v.holders[w]:
+                    votes[i] = votes.get(i, 0) + 1
+            if any(n >= ANSWER * len(v.answers[i]) for i, n in votes.items()):
+                out.append((max(0, int(run[0]) - v.near), min(len(at), int(run[-1]) + v.near + 1)))
         return out
 
     def search(self, words: list[str]) -> list[tuple[int, int, float, float, float]]:
