@@ -21,7 +21,8 @@ PATTERNS = ("insults", "leet", "shouting", "marks")
 #: The voters' terms and the classifier are learnt from about LABELLED labelled rows, chosen by hash; the bound is on the
 #: fit alone. TERMS is the number of terms the lexicons may hold, FEATURES that of the classifier.
 LABELLED, TERMS, FEATURES = 20_000, 600, 3000
-_LEET = re.compile(r"\b\w*[a-z][013457@$]+[a-z]\w*\b")
+_LEET = re.compile(r"\w*[a-z][013457@$]+[a-z]\w*")
+MARKS = ".,;:!?\"'()[]|*%&#$"
 
 
 def held_out(id_col: str) -> Column:
@@ -31,7 +32,7 @@ def held_out(id_col: str) -> Column:
 
 def words_of(text: str) -> set[str]:
     """Distinct words in lower case without marks at their ends."""
-    out = {w.strip(".,;:!?\"'()[]|*%&#$") for w in text.lower().split()}
+    out = {w.strip(MARKS) for w in set(text.lower().split())}
     out.discard("")
     return out
 
@@ -41,42 +42,58 @@ def terms_of(word: str) -> list[str]:
     return ["w" + word, *(f"{k}{word[:k]}" for k in (4, 5, 6) if len(word) > k)]
 
 
-def _pattern_votes(text: str, words: set[str]) -> list[bool]:
-    parts = text.split()
-    shouts = sum(1 for w in parts if len(w) > 3 and w.isupper())
-    return [not words.isdisjoint(INSULTS), len(_LEET.findall(text.lower())) > 2, shouts > 0.2 * len(parts) > 0, text.count("!") > 0.1 * len(parts) > 0]
+class Voters(dict):
+    """Lexicons of learnt terms, each split by hash into voters that see different words, and pattern voters.
 
+    As a dict it keeps what a token means, (bits of voters, obfuscated or not, feature numbers), or None for
+    the many tokens without meaning; it starts anew at a bound.
+    """
 
-class Voters:
-    """Lexicons of learnt terms, each split by hash into voters that see different words."""
-
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], features: dict[str, int] | None = None, kept: int = 400_000):
+        super().__init__()
         self.names = [f"{g}{i}" for g, n in GROUPS.items() for i in range(n)]
         at = {name: i for i, name in enumerate(self.names)}
         self.voter = {t: at[f"{t[0]}{zlib.crc32(t.encode()) % GROUPS[t[0]]}"] for t in terms}
+        self.first = len(self.names)
         self.names += PATTERNS
-
-    def code(self, text: str, words: set[str]) -> int:
-        """Bit j: voter j has a hit."""
-        out = 0
-        voter = self.voter
-        for w in words:
-            for t in terms_of(w):
-                if (j := voter.get(t)) is not None:
-                    out |= 1 << j
-        for k, hit in enumerate(_pattern_votes(text, words)):
-            out |= hit << (len(self.names) - len(PATTERNS) + k)
-        return out
+        self.features, self.kept = features or {}, kept
+
+    def __reduce__(self):
+        return Voters, (list(self.voter), self.features, self.kept)
+
+    def __missing__(self, token: str) -> tuple | None:
+        if len(self) >= self.kept:
+            self.clear()
+        word = token.strip(MARKS)
+        terms = terms_of(word) if word else []
+        bits = sum({1 << self.voter[t] for t in terms if t in self.voter}) | ((word in INSULTS) << self.first)
+        hits = tuple(self.features[t] for t in terms if t in self.features)
+        leet = bool(_LEET.fullmatch(word))
+        meaning = self[token] = (bits, leet, hits) if bits or leet or hits else None
+        return meaning
+
+    def read(self, text: str) -> tuple[int, list[int]]:
+        """The votes as bits, and the features that the text has."""
+        parts = text.split()
+        bits, obfuscated, hits = 0, 0, set()
+        for meaning in filter(None, map(self.__getitem__, set(text.lower().split()))):
+            bits |= meaning[0]
+            obfuscated += meaning[1]
+            hits.update(meaning[2])
+        patterns = obfuscated > 2, sum(map(str.isupper, parts)) > 0.2 * len(parts), text.count("!") > 0.1 * len(parts)
+        for k, hit in enumerate(patterns):
+            bits |= hit << (self.first + 1 + k)
+        return bits, sorted(hits)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return (codes[:, None] >> np.arange(len(self.names))) & 1
 
 
 class ToxicityModel:
-    """What the fit leaves: voters, label model, feature numbers and weights."""
+    """What the fit leaves: voters (with the features' numbers), label model and weights."""
 
-    def __init__(self, voters: Voters, labels: LabelModel, features: dict[str, int], weights: np.ndarray, bias: float):
-        self.voters, self.labels, self.features, self.weights, self.bias = voters, labels, features, weights, bias
+    def __init__(self, voters: Voters, labels: LabelModel, weights: np.ndarray, bias: float):
+        self.voters, self.labels, self.weights, self.bias = voters, labels, weights, bias
 
 
 def _count_terms(rows: DataFrame) -> DataFrame:
@@ -129,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     def patterns(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"code": [voters.code(t or "", words_of(t or "")) for t in b["__t"]], "y": b["y"] if "y" in b else None})
+            yield pd.DataFrame({"code": [voters.read(t or "")[0] for t in b["__t"]], "y": b["y"] if "y" in b else None})
 
     # vote patterns of all documents (2^14 at most), and those of the sample with their labels
     free = docs.select(F.col(text).alias("__t"), F.lit(None).cast("double").alias("y")).mapInPandas(patterns, "code long, y double")
@@ -142,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     def soft(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            codes = np.array([voters.code(t or "", words_of(t or "")) for t in b["text"]], np.int64)
+            codes = np.array([voters.read(t or "")[0] for t in b["text"]], np.int64)
             p = model.posterior(voters.decode(codes)) if len(codes) else np.zeros(0)
             yield pd.DataFrame({"text": b["text"], "y": p})
 
@@ -151,19 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     odds = F.log((F.col("pos") + 0.5) / (mass["p"] + 1)) - F.log((F.col("neg") + 0.5) / (mass["n"] - mass["p"] + 1))
     wanted = _count_terms(softened).filter("pos + neg >= 4").withColumn("odds", odds).filter("abs(odds) > 1").orderBy(F.desc(F.abs("odds") * F.sqrt("pos")), "term").limit(FEATURES).collect()
     features = {r["term"]: i for i, r in enumerate(wanted)}
+    voters = Voters(voters.voter, features)
 
     def sparse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"cols": [sorted(_hits(words_of(t or ""), features)) for t in b["text"]], "y": b["y"]})
+            yield pd.DataFrame({"cols": [voters.read(t or "")[1] for t in b["text"]], "y": b["y"]})
 
     found = softened.mapInPandas(sparse, "cols array<long>, y double").toPandas()
     cols = [np.asarray(x, np.int64) for x in found["cols"]]
     w, bias = fit_linear(cols, [np.ones(len(c)) for c in cols], found["y"].to_numpy(), len(features), rate=0.3)
-    return ToxicityModel(voters, model, features, w, bias)
-
-
-def _hits(words: set[str], features: dict[str, int]) -> set[int]:
-    return {f for w in words for t in terms_of(w) if (f := features.get(t)) is not None}
+    return ToxicityModel(voters, model, w, bias)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -174,22 +188,12 @@ def score(docs: DataFrame, model: ToxicityModel | None, text: str = "text", id_c
         return base.select(id_col, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("posterior"), F.lit("").alias("voters"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
             z, codes = [], []
             for t in b["__t"]:
-                t = t or ""
-                words = words_of(t)
-                hits: set[int] = set()
-                for w in words:
-                    if (f := memo.get(w)) is None:
-                        if len(memo) > 400_000:
-                            memo.clear()
-                        f = memo[w] = tuple(x for k in terms_of(w) if (x := model.features.get(k)) is not None)
-                    if f:
-                        hits.update(f)
-                z.append(float(model.weights[sorted(hits)].sum()) + model.bias if hits else model.bias)
-                codes.append(model.voters.code(t, words))
+                code, hits = model.voters.read(t or "")
+                z.append(float(model.weights[hits].sum()) + model.bias if hits else model.bias)
+                codes.append(code)
             votes = model.voters.decode(np.array(codes, np.int64))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             names = np.array(model.voters.names)
