@@ -6,10 +6,11 @@ from functools import lru_cache
 
 import numpy as np
 
+from tessella.llm.memo import lease
 from tessella.llm.tokens import BLOCK, block_words, pieces
 
 #: Words kept per Python worker.
-KEPT = 900_000
+KEPT = 700_000
 
 
 class Encoder:
@@ -73,10 +74,15 @@ class Encoder:
             memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker."""
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker."""
+    lease("encoder", _encoder.cache_clear)
+    return _encoder(path)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.labelmodel import LabelModel, fit_linear
+from tessella.llm.memo import lease
 
 #: Votes: 0 junk, 1 abstains, 2 good.
 JUNK, ABSTAIN, GOOD = 0, 1, 2
@@ -25,7 +26,7 @@ SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS) + STEPS * 8
 #: by itself could as well be a labeller's error, so the belief weighs ten times the rows.
 BELIEF = 10 * np.array([[0.12, 0.87, 0.01], [0.0005, 0.9895, 0.01]])
 GOOD_SHARE = 0.9
-_KEPT = 400_000
+_KEPT = 250_000
 
 
 def _over(share: float, high: float) -> int:
@@ -82,6 +83,7 @@ def _memo() -> dict[str, int]:
 def _features(words: list[str]) -> np.ndarray:
     """Per word two feature numbers: the word's hash, and that of its shape (runs of letters, digits, marks)."""
     memo = _memo()
+    lease("quality", _memo.cache_clear)
     if len(memo) > _KEPT:
         memo.clear()
     for w in set(words):

@@ -7,7 +7,9 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
-KEPT_WORDS = 500_000
+from tessella.llm.memo import lease
+
+KEPT_WORDS = 300_000
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -27,6 +29,7 @@ def _memo() -> dict[bytes, int]:
 def word_numbers(words: list[bytes]) -> np.ndarray:
     """64-bit numbers of words, kept per Python worker."""
     memo = _memo()
+    lease("shingles", _memo.cache_clear)
     if len(memo) > KEPT_WORDS:
         memo.clear()
     try:

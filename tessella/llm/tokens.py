@@ -29,6 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.llm.memo import lease
+
 #: Character classes and states of the word cutter.
 SEP, LETTER, NUMBER, OTHER, SPACE, WHITE, APOS, C_STMD, C_R, C_V, C_L, C_E = range(12)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, SPACE_1, WHITE_1, SPACE_N, WHITE_N, AT_APOS, APOS_R, APOS_V, APOS_L, CONTRACTED = range(13)
@@ -343,10 +345,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-@lru_cache(2)
+@lru_cache(1)
+def _counter(path: str) -> Counter:
+    return Counter(path)
+
+
 def counter(path: str) -> Counter:
     """The compiled tokenizer of this Python worker."""
-    return Counter(path)
+    lease("counter", _counter.cache_clear)
+    return _counter(path)
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", limit: int = 512) -> DataFrame:
