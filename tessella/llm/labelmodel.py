@@ -31,23 +31,27 @@ class LabelModel:
         self.correlation = np.eye(m)
         hot = (votes[:, :, None] == np.arange(self.values)).astype(float)
         post = np.clip(start.astype(float), 0.01, 0.99)
-        for outer in range(self.outer):
+        self._learn(counts, hot, post, belief, share, believed)
+        for _ in range(self.outer):
+            # shared weights come first: else voters that repeat each other could become the label themselves
+            self._share(votes, counts, post)
             for _ in range(self.rounds):
                 post[known] = gold[known]
-                mass = np.stack([counts * (1 - post), counts * post])
-                self.prior = float((mass[1].sum() + 1 + share * counts.sum() * believed) / (mass.sum() + 2 + believed * counts.sum()))
-                table = np.einsum("yn,nmv->ymv", mass, hot) + 0.5 + (0 if belief is None else belief * counts.sum())
-                self.log = np.log(table / table.sum(axis=2, keepdims=True))
+                self._learn(counts, hot, post, belief, share, believed)
                 new = self.posterior(votes)
                 new[known] = gold[known]
                 moved = float(np.abs(new - post).max(initial=0))
                 post = new
                 if moved < 1e-6:
                     break
-            if outer + 1 < self.outer:
-                self._share(votes, counts, post)
         return self
 
+    def _learn(self, counts: np.ndarray, hot: np.ndarray, post: np.ndarray, belief: np.ndarray | None, share: float, believed: float) -> None:
+        mass = np.stack([counts * (1 - post), counts * post])
+        self.prior = float((mass[1].sum() + 1 + share * counts.sum() * believed) / (mass.sum() + 2 + believed * counts.sum()))
+        table = np.einsum("yn,nmv->ymv", mass, hot) + 0.5 + (0 if belief is None else belief * counts.sum())
+        self.log = np.log(table / table.sum(axis=2, keepdims=True))
+
     def _share(self, votes: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
         odds = self.log[1] - self.log[0]
         told = np.take_along_axis(odds[None], votes[:, :, None], axis=2)[:, :, 0]  # log-odds each vote stands for
