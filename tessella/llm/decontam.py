@@ -15,8 +15,10 @@ ITEMS = 4096
 RANK, EXTRA, POWER = 256, 10, 2
 #: Window lengths in words; hop; least cosine of a candidate.
 WINDOWS, HOP, COSINE = (16, 32, 48, 64), 8, 0.3
-#: A candidate is a leak if so much of the item is in it in order, and so much of the item's answer words.
-LCS, ANSWER, ANSWER_WORDS, SHORTEST = 0.6, 0.5, 5, 5
+#: A candidate is a leak if so much of the item is in it in order, and so much of the item's answer words, 3 at
+#: least. Answer words are an item's rarest: up to 12 that fewer than one document in 100 holds (in small
+#: collections fewer than n^0.4 of n), 5 at least.
+LCS, ANSWER, LEAST, ANSWER_WORDS, FEWEST, RARE, SHORTEST = 0.6, 0.4, 3, 12, 5, float(np.log(100)), 5
 _MARKS = ".,;:!?\"'()[]{}|*%&#$<>=/\\_~^`«»„“”…"
 
 
@@ -56,7 +58,12 @@ class Vocabulary:
     def weigh(self, documents: int, df: np.ndarray) -> None:
         self.idf = np.log((documents + 1) / (df + 1))
         self.unknown = float(np.log(documents + 1))
-        self.answers = [np.unique(r)[np.argsort(-self.idf[np.unique(r)], kind="stable")[:ANSWER_WORDS]] for r in self.rows]
+        self.answers = []
+        for r in self.rows:
+            own = np.unique(r)
+            own = own[np.argsort(-self.idf[own], kind="stable")][:ANSWER_WORDS]
+            self.answers.append(own[: max(FEWEST, int((self.idf[own] >= min(RARE, 0.6 * self.unknown)).sum()))])
+        self.needed = [max(min(LEAST, len(a)), ANSWER * len(a)) for a in self.answers]
         self.anchor = np.zeros(len(self.idf), bool)
         self.holders: dict[int, list[int]] = {}
         for i, words in enumerate(self.answers):
@@ -144,7 +151,7 @@ class Index:
             for w in set(at[run].tolist()):
                 for i in v.holders[w]:
                     votes[i] = votes.get(i, 0) + 1
-            if any(n >= ANSWER * len(v.answers[i]) for i, n in votes.items()):
+            if any(n >= v.needed[i] for i, n in votes.items()):
                 out.append((max(0, int(run[0]) - v.near), min(len(at), int(run[-1]) + v.near + 1)))
         return out
 
@@ -177,8 +184,9 @@ class Index:
                     share = lcs(item, text) / len(item)
                     if i in best and best[i][3] >= share:
                         continue
-                    answer = len(self.answer[i].intersection(text)) / max(1, len(self.answer[i]))
-                    if share >= LCS and answer >= ANSWER:
+                    told = len(self.answer[i].intersection(text))
+                    answer = told / len(self.answer[i])
+                    if share >= LCS and told >= v.needed[i]:
                         best[i] = (i, lo + a, min(1.0, cosine), share, answer)
                         break
         return list(best.values())
