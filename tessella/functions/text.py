@@ -62,7 +62,7 @@ def unique_id(machine: Column, millis: Column, counter: Column) -> Column:
 
     full = F.concat(digits(machine, 3), digits(millis, 10), digits(counter, 3))
     value = F.conv(full, 16, 10).cast("decimal(20,0)")
-    return F.when(value >= F.lit(1 << 63).cast("decimal(20,0)"), value - F.lit(1 << 63).cast("decimal(20,0)")).otherwise(value).cast("long")
+    return F.when(value >= F.lit(str(1 << 63)).cast("decimal(20,0)"), value - F.lit(str(1 << 63)).cast("decimal(20,0)")).otherwise(value).cast("long")
 
 
 def machine_id(name: Column) -> Column:

@@ -81,11 +81,11 @@ _NUMPY = {
 FAMILIES = ("uniform_real", "uniform_int", "bernoulli", "binomial", "negative_binomial", "geometric", "poisson", "exponential", "gamma", "weibull", "extreme_value", "normal", "lognormal", "chi_squared", "cauchy", "fisher_f", "student_t")
 
 
-def draw(spark: SparkSession, kind: str, n: int, seed: int = 0, partitions: int = 8, **params: float) -> DataFrame:
-    """n seeded draws (pos, value). Families without an expression draw in blocks of 4096 positions,
+def draw(spark: SparkSession, kind: str, total: int, seed: int = 0, partitions: int = 8, **params: float) -> DataFrame:
+    """total seeded draws (pos, value). Families without an expression draw in blocks of 4096 positions,
     each block from its own generator, so that a lost task draws the same numbers again."""
     column = _by_inverse(kind, seed, params)
-    base = spark.range(0, n, 1, partitions)
+    base = spark.range(0, total, 1, partitions)
     if column is not None:
         return base.select(F.col("id").alias("pos"), column.alias("value"))
     if kind not in _NUMPY:
@@ -95,11 +95,11 @@ def draw(spark: SparkSession, kind: str, n: int, seed: int = 0, partitions: int
     def blocks(batches):
         for batch in batches:
             for block in batch["block"]:
-                size = min(4096, n - block * 4096)
+                size = min(4096, total - block * 4096)
                 values = family(np.random.default_rng([seed, int(block)]), size, params)
                 yield pd.DataFrame({"pos": np.arange(size) + block * 4096, "value": values.astype(float)})
 
-    return spark.range(0, -(-n // 4096), 1, partitions).withColumnRenamed("id", "block").mapInPandas(blocks, "pos long, value double")
+    return spark.range(0, -(-total // 4096), 1, partitions).withColumnRenamed("id", "block").mapInPandas(blocks, "pos long, value double")
 
 
 def zipf(spark: SparkSession, n: int, num: int, q: float, seed: int = 0) -> DataFrame:
