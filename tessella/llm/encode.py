@@ -10,7 +10,7 @@ from tessella.llm.memo import lease
 from tessella.llm.tokens import BLOCK, block_words, pieces
 
 #: Words kept per Python worker.
-KEPT = 700_000
+KEPT = 900_000
 
 
 class Encoder:
