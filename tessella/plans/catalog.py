@@ -290,14 +290,14 @@ def modify_by_idx(spark, d):
     return fr.modify_by_idx(*_frames(spark, d))
 
 
-@query("""WITH e AS (SELECT user_id, (epoch_us(ts) // 1000) AS s, (epoch_us(ts) // 1000) + (value * 1000)::BIGINT AS e FROM events), b AS (SELECT min(s) AS lo, max(e) AS hi FROM e),
+@query("""WITH e AS (SELECT user_id, (epoch_us(ts) // 1000) AS s, (epoch_us(ts) // 1000) + floor(value * 1000)::BIGINT AS e FROM events), b AS (SELECT min(s) AS lo, max(e) AS hi FROM e),
 n AS (SELECT unnest(range(0, ceil((hi - lo) / 3600000.0)::BIGINT)) AS bin, lo FROM b)
-SELECT bin, round(sum(CASE WHEN s IS NULL THEN 0 ELSE greatest(0, least(e, lo + (bin + 1) * 3600000) - greatest(s, lo + bin * 3600000)) END) / 3600000.0, 6) AS busy
+SELECT bin, round(sum(CASE WHEN s IS NULL THEN 0 ELSE greatest(0, least(e, lo + (bin + 1) * 3600000) - greatest(s, lo + bin * 3600000)) END) / 3600000.0, 9) AS busy
 FROM n LEFT JOIN e ON s < lo + (bin + 1) * 3600000 AND e > lo + bin * 3600000 GROUP BY 1""")
 def interval_bins(spark, d):
     s = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = table(spark, d, "events").select(s.alias("s"), (s + F.round(F.col("value") * 1000).cast("long")).alias("e"))
-    return iv.utilisation_bins(rows, "s", "e", 3_600_000).select(F.col("bin").cast("long").alias("bin"), _r("busy", 6))
+    rows = table(spark, d, "events").select(s.alias("s"), (s + F.floor(F.col("value") * 1000)).alias("e"))
+    return iv.utilisation_bins(rows, "s", "e", 3_600_000).select(F.col("bin").cast("long").alias("bin"), _r("busy", 9))
 
 
 # set operations
