@@ -30,8 +30,6 @@ class Encoder:
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
                 # special strings take the library's own path
-                self._flush(block, out)
-                block, size = [], 0
                 out[i].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
             for piece in pieces(text):

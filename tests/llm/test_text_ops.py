@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessella.llm import chat, decontam, packing, queries, secrets, shingles, tiff, tokens
+from tessella.llm import chat, decontam, encode, packing, queries, secrets, shingles, tiff, tokens
 from tests.oracle import connect, rows_of, rows_of_sql
 
 DIR = "/root/testdata/sf0.001"
@@ -75,6 +75,14 @@ def test_counts_of_random_strings(hf):
     assert tokens.Counter(PATH).counts(texts).tolist() == [len(e.ids) for e in hf.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_of_random_strings(hf):
+    random.seed(5)
+    pool = list("abrestvl'' \n\t 19é中.,") + ["<|endoftext|>", "<|", "'re", " the"]
+    texts = ["".join(random.choice(pool) for _ in range(random.randrange(60))) for _ in range(3000)] + ["", " ", "a ", "x" * 5000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in hf.encode_batch(texts, add_special_tokens=False)]
+    assert encode.Encoder(PATH).ids(texts) == want
+
+
 def test_long_text_in_pieces(hf):
     text = "word " * 3000 + "x" * 9000 + " end's"
     assert "".join(tokens.pieces(text, 1000)) == text
