@@ -9,11 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Benchmark items handled at a time (this bounds what is sent to tasks; further blocks scan the documents again).
-ITEMS = 4096
-#: Latent dimensions at most; extra columns and power iterations of the randomised decomposition.
+#: Benchmark items and their characters handled at a time (this bounds what is sent to tasks; further blocks scan the
+#: documents again).
+ITEMS, CHARACTERS = 4096, 1_000_000
+#: Latent dimensions, and so many items at most are decomposed together: a part has a dimension for each of its items,
+#: and none of an item's weight is lost. Extra columns and power iterations of the randomised decomposition.
 RANK, EXTRA, POWER = 256, 10, 2
-#: Window lengths in words; hop; least cosine of a candidate.
+#: Window lengths in words, carried on by halves up to the longest item; hop, or an eighth of the window; least cosine
+#: of a candidate.
 WINDOWS, HOP, COSINE = (16, 32, 48, 64), 8, 0.3
 #: A candidate is a leak if so much of the item is in it in order, and so much of the item's answer words, 3 at
 #: least. Answer words are an item's rarest: up to 12 that fewer than one document in 100 holds (in small
@@ -44,6 +47,14 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def window_sizes(longest: int) -> list[int]:
+    """Window lengths for items of so many words at most."""
+    sizes = list(WINDOWS)
+    while sizes[-1] < longest:
+        sizes.append(sizes[-1] * 3 // 2)
+    return sizes
+
+
 class Vocabulary:
     """The words of a block of items, with their weights once document counts are known."""
 
@@ -128,7 +139,7 @@ def randomized_basis(passages: DataFrame, size: int, rank: int, seed: int = 11)
 
 
 class Index:
-    """A block of items in latent space."""
+    """A part of a block's items in latent space."""
 
     def __init__(self, vocabulary: Vocabulary, basis: np.ndarray):
         self.vocabulary = vocabulary
@@ -137,6 +148,7 @@ class Index:
         self.items /= np.maximum(np.linalg.norm(self.items, axis=1, keepdims=True), 1e-9)
         self.lists = [r.tolist() for r in vocabulary.rows]
         self.answer = [set(a.tolist()) for a in vocabulary.answers]
+        self.sizes = window_sizes(max(map(len, self.lists)))
 
     def regions(self, at: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of words that hold enough of some item's answer words to pass the last check."""
@@ -155,11 +167,53 @@ class Index:
                 out.append((max(0, int(run[0]) - v.near), min(len(at), int(run[-1]) + v.near + 1)))
         return out
 
-    def search(self, words: list[str]) -> list[tuple[int, int, float, float, float]]:
-        """(item, first word, cosine, share in order, share of answer words) of every leak."""
+    def dense(self, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, end) of stretches about an item's answer words, where enough of them lie close together."""
+        v = self.vocabulary
+        hits = np.flatnonzero((at >= 0) & v.anchor[np.maximum(at, 0)])
+        places: dict[int, list[tuple[int, int]]] = {}
+        for p, w in zip(hits.tolist(), at[hits].tolist(), strict=True):
+            for i in v.holders[w]:
+                places.setdefault(i, []).append((p, w))
+        for i, found in places.items():
+            if len(found) < v.needed[i]:
+                continue
+            n = len(self.lists[i])
+            reach = max(2 * n, n + WINDOWS[-1])
+            held: dict[int, int] = {}
+            end, free = 0, 0
+            for p, w in found:
+                while end < len(found) and found[end][0] < p + reach:
+                    held[found[end][1]] = held.get(found[end][1], 0) + 1
+                    end += 1
+                if p >= free and len(held) >= v.needed[i]:
+                    yield i, max(0, p - n), min(len(at), p + reach + n)
+                    free = p + max(1, n // 2)
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+
+    def search(self, at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """(item, first word, cosine, share in order, share of answer words) of every leak; words as places.
+
+        Every spot near an item by cosine is checked, then those that hold enough of an item's answer words,
+        whatever their cosine.
+        """
         v = self.vocabulary
-        at = v.places(words)
         best: dict[int, tuple] = {}
+
+        def check(i: int, a: int, b: int, lo: int, part: np.ndarray, cosine: float) -> bool:
+            text = part[a:b].tolist()
+            told = len(self.answer[i].intersection(text))
+            if told < v.needed[i]:
+                return False
+            share = lcs(self.lists[i], text) / len(self.lists[i])
+            if share < LCS:
+                return False
+            if i not in best or best[i][3] < share:
+                best[i] = (i, lo + a, min(1.0, cosine), share, told / len(self.answer[i]))
+            return True
+
         for lo, hi in self.regions(at):
             part = at[lo:hi]
             known = part >= 0
@@ -168,8 +222,9 @@ class Index:
             sums = np.concatenate([np.zeros((1, vec.shape[1])), np.cumsum(vec, axis=0, dtype=np.float64)])
             mass = np.concatenate([[0.0], np.cumsum(weight)])
             spots: dict[int, list[tuple[float, int, int]]] = {}
-            for size in WINDOWS:
-                starts = np.arange(0, max(1, len(part) - size + HOP), HOP)
+            for size in self.sizes:
+                hop = max(HOP, size // 8)
+                starts = np.arange(0, max(1, len(part) - size + hop), hop)
                 ends = np.minimum(starts + size, len(part))
                 z = sums[ends] - sums[starts]
                 norm = np.sqrt(np.maximum(mass[ends] - mass[starts], 1e-9))
@@ -177,28 +232,47 @@ class Index:
                 for k, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     spots.setdefault(int(i), []).append((float(cosine[k, i]), int(starts[k]), int(ends[k])))
             for i, found in spots.items():
-                item = self.lists[i]
-                for cosine, a, b in sorted(found, reverse=True)[:1] if len(part) <= 4 * len(item) + 2 * WINDOWS[-1] else sorted(found, reverse=True):
-                    a, b = max(0, min(a, b - len(item)) - len(item)), min(len(part), max(b, a + len(item)) + len(item))
-                    text = part[a:b].tolist()
-                    share = lcs(item, text) / len(item)
-                    if i in best and best[i][3] >= share:
+                n, tried = len(self.lists[i]), []
+                for cosine, a, b in sorted(found, reverse=True):
+                    a, b = max(0, min(a, b - n) - n), min(len(part), max(b, a + n) + n)
+                    if any(x <= a and b <= y for x, y in tried):  # a longer stretch has failed
                         continue
-                    told = len(self.answer[i].intersection(text))
-                    answer = told / len(self.answer[i])
-                    if share >= LCS and told >= v.needed[i]:
-                        best[i] = (i, lo + a, min(1.0, cosine), share, answer)
+                    if check(i, a, b, lo, part, cosine):
                         break
+                    tried.append((a, b))
+            for i, a, b in self.dense(part):
+                if i not in best:
+                    cosine = float((sums[b] - sums[a]) @ self.items[i] / np.sqrt(max(mass[b] - mass[a], 1e-9)))
+                    check(i, a, b, lo, part, cosine)
         return list(best.values())
 
 
+class Block:
+    """The parts of a block of items, which share one look at a document's words."""
+
+    def __init__(self, vocabulary: Vocabulary, parts: list[Index]):
+        self.vocabulary, self.parts, self.own = vocabulary, parts, []
+        for p in parts:
+            places = np.full(len(vocabulary.number) + 1, -1, np.int64)  # the last for unknown words
+            places[vocabulary.places(list(p.vocabulary.number))] = np.arange(len(p.vocabulary.number))
+            self.own.append(places)
+
+    def search(self, words: list[str]) -> Iterator[tuple]:
+        """(item's id, first word, cosine, share in order, share of answer words) of every leak."""
+        at = self.vocabulary.places(words)
+        for p, places in zip(self.parts, self.own, strict=True):
+            for i, *rest in p.search(places[at]):
+                yield p.vocabulary.ids[i], *rest
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, first_word, cosine, lcs, answer): the documents that hold a benchmark item.
 
     Items are weighted by TF-IDF, with document counts over all documents, and decomposed by a distributed
     randomised SVD; windows of the documents are folded into that space, and those near an item by cosine are
-    compared with it by longest common subsequence and by its rarest words, its likely answer. Items are a
-    query set, sent to tasks in blocks of 4096; documents aren't shuffled.
+    compared with it by longest common subsequence and by its rarest words, its likely answer. Stretches that
+    hold enough of these words are compared too, whatever their cosine. Items are a query set, sent to tasks in
+    blocks of up to 4096, decomposed in parts of 256; documents aren't shuffled.
 
     Items of fewer than 5 words, and null items, are not searched; null or empty documents hold nothing.
     Repeated rows on either side give repeated results. Extra columns are left out; empty tables give no rows.
@@ -206,18 +280,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, first_word int, cosine double, lcs double, answer double"
     own = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    blocks = max(1, -(-own.count() // ITEMS))
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEMS), -(-size["chars"] // CHARACTERS))
     out = None
     for block in range(blocks):
         chosen = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         items = [(r["i"], ws) for r in sorted(chosen.collect(), key=lambda r: (str(r["i"]), r["t"])) if len(ws := words_of(r["t"])) >= SHORTEST]
         if not items:
             continue
-        index = _index(docs, text, items)
+        held = _block(docs, text, items)
 
-        def run(batches: Iterable[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterable[pd.DataFrame], held: Block = held) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, index.vocabulary.ids[i], a, c, s, w) for d, t in zip(b["__i"], b["__t"], strict=True) if t for i, a, c, s, w in index.search(words_of(t))]
+                rows = [(d, *leak) for d, t in zip(b["__i"], b["__t"], strict=True) if t for leak in held.search(words_of(t))]
                 yield pd.DataFrame(rows, columns=[id_col, item_id, "first_word", "cosine", "lcs", "answer"])
 
         found = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__t")).mapInPandas(run, schema)
@@ -225,9 +300,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _index(docs: DataFrame, text: str, items: list[tuple[int, list[str]]]) -> Index:
+def _block(docs: DataFrame, text: str, items: list[tuple[int, list[str]]]) -> Block:
     vocabulary = Vocabulary(items)
-    vocabulary.weigh(*document_counts(docs, text, vocabulary))
+    documents, df = document_counts(docs, text, vocabulary)
+    parts = []
+    for k in range(0, len(items), RANK):
+        part = Vocabulary(items[k : k + RANK])
+        part.weigh(documents, df[vocabulary.places(list(part.number))])
+        parts.append(_index(docs, part))
+    return Block(vocabulary, parts)
+
+
+def _index(docs: DataFrame, vocabulary: Vocabulary) -> Index:
     sparse = []
     for r in vocabulary.rows:
         cols, tf = np.unique(r, return_counts=True)
@@ -235,4 +319,4 @@ def _index(docs: DataFrame, text: str, items: list[tuple[int, list[str]]]) -> In
         sparse.append((cols.tolist(), (vals / max(1e-9, np.linalg.norm(vals))).tolist()))
     spark = docs.sparkSession
     passages = spark.createDataFrame(sparse, "cols array<long>, vals array<double>").repartition(min(len(sparse), 32))
-    return Index(vocabulary, randomized_basis(passages, len(vocabulary.number), min(RANK, len(items))))
+    return Index(vocabulary, randomized_basis(passages, len(vocabulary.number), min(RANK, len(vocabulary.rows))))

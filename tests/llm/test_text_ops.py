@@ -297,3 +297,19 @@ def test_leaks_and_paraphrases(spark):
     assert (None, 0) in got and not {x for x in got - {(None, 0)}} - want
     assert len(got & want) >= 0.9 * len(want)
     assert decontam.find_leaks(d, b.limit(0)).count() == 0 and decontam.find_leaks(d.limit(0), b).count() == 0
+
+
+def test_leaks_of_many_and_long_items(spark):
+    rng = np.random.default_rng(12)
+    words, p = np.array([f"w{k}" for k in range(20000)]), 1 / np.arange(1, 20001)
+    p /= p.sum()
+
+    def draw(n):
+        return " ".join(rng.choice(words, n, p=p))
+
+    items = [(i, draw(36)) for i in range(2000)] + [(2000 + i, draw(1000)) for i in range(6)]
+    rows = [(i, f"{draw(40)} {t} {draw(40)}") for i, t in items] + [(10000 + i, draw(120)) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, b).collect()}
+    assert got == {(i, i) for i, _ in items}
