@@ -68,12 +68,11 @@ class Vocabulary:
 
     def weigh(self, documents: int, df: np.ndarray) -> None:
         self.idf = np.log((documents + 1) / (df + 1))
-        self.unknown = float(np.log(documents + 1))
         self.answers = []
         for r in self.rows:
             own = np.unique(r)
             own = own[np.argsort(-self.idf[own], kind="stable")][:ANSWER_WORDS]
-            self.answers.append(own[: max(FEWEST, int((self.idf[own] >= min(RARE, 0.6 * self.unknown)).sum()))])
+            self.answers.append(own[: max(FEWEST, int((self.idf[own] >= min(RARE, 0.6 * np.log(documents + 1))).sum()))])
         self.needed = [max(min(LEAST, len(a)), ANSWER * len(a)) for a in self.answers]
         self.anchor = np.zeros(len(self.idf), bool)
         self.holders: dict[int, list[int]] = {}
@@ -218,7 +217,7 @@ class Index:
             part = at[lo:hi]
             known = part >= 0
             vec = np.where(known[:, None], self.vectors[np.maximum(part, 0)], np.float32(0))
-            weight = np.where(known, v.idf[np.maximum(part, 0)], v.unknown) ** 2
+            weight = np.where(known, v.idf[np.maximum(part, 0)], 0.0) ** 2  # other words have no weight, known or not
             sums = np.concatenate([np.zeros((1, vec.shape[1])), np.cumsum(vec, axis=0, dtype=np.float64)])
             mass = np.concatenate([[0.0], np.cumsum(weight)])
             spots: dict[int, list[tuple[float, int, int]]] = {}
@@ -269,7 +268,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
     """(doc_id, item_id, first_word, cosine, lcs, answer): the documents that hold a benchmark item.
 
     Items are weighted by TF-IDF, with document counts over all documents, and decomposed by a distributed
-    randomised SVD; windows of the documents are folded into that space, and those near an item by cosine are
+    randomised SVD; windows of the documents are folded into that space, where words that no item holds weigh
+    nothing, so that scores don't change with the number of documents; those near an item by cosine are
     compared with it by longest common subsequence and by its rarest words, its likely answer. Stretches that
     hold enough of these words are compared too, whatever their cosine. Items are a query set, sent to tasks in
     blocks of up to 4096, decomposed in parts of 256; documents aren't shuffled.

@@ -313,3 +313,17 @@ def test_leaks_of_many_and_long_items(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, b).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+def test_leak_scores_alike_at_every_size(spark):
+    rng = np.random.default_rng(13)
+    items = [(i, [f"w{k}" for k in rng.integers(0, 3000, 36)]) for i in range(20)]
+    text = ["the"] * 20 + [w if k % 3 else f"other{k}" for k, w in enumerate(items[4][1])] + ["the"] * 20
+    scores = []
+    for documents in (51_000, 15_000_000):
+        v = decontam.Vocabulary(items)
+        v.weigh(documents, np.full(len(v.number), documents // 5000))
+        found = list(decontam.Block(v, [decontam._index(docs(spark), v)]).search(text))
+        assert [i for i, *_ in found] == [4]
+        scores.append(found[0][2])
+    assert abs(scores[0] - scores[1]) < 0.001
