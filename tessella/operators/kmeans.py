@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.functions.numbers import squared_distance
@@ -31,11 +33,20 @@ def _trunc(total: int, n: int) -> int:
     return total // n if total >= 0 else -(-total // n)
 
 
-def fit(points: DataFrame, means: list[list[int]], vector: str = "d", max_rounds: int = 100) -> tuple[list[list[int]], int]:
-    """Repeats assignment and update until no mean changes: (means, rounds)."""
+def fit(points: DataFrame, means: list[list[int]], vector: str = "d", max_rounds: int = 100_000) -> tuple[list[list[int]], int]:
+    """Repeats assignment and update until no mean changes: (means, rounds).
+
+    Raises if means of an earlier round come back (rounded means may go in a circle, which has no fixed point),
+    or if max_rounds, a safety bound, is met: unsettled means are never returned.
+    """
+    seen = set()
     for n in range(1, max_rounds + 1):
         new = update(assign(points, means, vector), means, vector)
         if new == means:
             return new, n
+        key = hashlib.sha256(repr(means).encode()).digest()
+        if key in seen:
+            raise RuntimeError(f"k-means goes in a circle, seen in round {n}")
+        seen.add(key)
         means = new
-    return means, max_rounds
+    raise RuntimeError(f"k-means has not settled in {max_rounds} rounds")

@@ -146,3 +146,17 @@ def test_streams_match_batch(spark, tmp_path):
     qu.drain(qu.reorder(qu.read_queue(spark, str(tmp_path / "in2"), back.schema), "k", "v"), "ordered", str(tmp_path / "c4"))
     assert listed(spark.table("ordered"), "key", "seq") == sorted((k, s, float(d)) for k, s, d in rows)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_kmeans_runs_until_settled(monkeypatch):
+    rounds = iter(range(1, 1000))
+    monkeypatch.setattr(km, "assign", lambda p, means, vector: means)
+    monkeypatch.setattr(km, "update", lambda a, means, vector: [[min(next(rounds), 300)]])
+    assert km.fit(None, [[0]]) == ([[300]], 301)
+    turn = iter([[[1]], [[2]]] * 200)
+    monkeypatch.setattr(km, "update", lambda a, means, vector: next(turn))
+    with pytest.raises(RuntimeError):
+        km.fit(None, [[2]])
+    monkeypatch.setattr(km, "update", lambda a, means, vector: [[means[0][0] + 1]])
+    with pytest.raises(RuntimeError):
+        km.fit(None, [[0]], max_rounds=5)
