@@ -17,6 +17,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "random")
 #: Shortest candidate of the battery; rejection level of the battery; false-discovery rate; bins of p-values.
 SHORTEST, ALPHA, RATE, BINS = 20, 1e-3, 0.05, 200
+#: Decoys of each candidate's length that a text gives, as far as its letters last; length bands.
+DECOYS, BANDS = 24, ((20, 24), (24, 32), (32, 40), (40, 64), (64, 128), (128, 256))
+#: Signs at which runs are cut into parts, step by step.
+CUTS = ("=", "=/", "=/+_-")
 
 _DIGIT, _UPPER, _LOWER, _SIGN, _HEX = 1, 2, 4, 8, 16
 
@@ -58,9 +62,14 @@ def base_spans(text: str, classes: np.ndarray) -> list[tuple[int, int, int]]:
 def alphabet(codes: np.ndarray) -> tuple[str, np.ndarray] | None:
     """The encoding a string seems to be in, and its symbols as 0..k-1; None for a word of letters."""
     c = _CLASS[codes]
+    if (c & _SIGN).any() and not ((c & _UPPER).any() and (c & _LOWER).any()) and not np.isin(codes, _OUTER).any():
+        inner = codes[(c & _SIGN) == 0]  # groups of one string, as in a dashed UUID
+        return alphabet(inner) if len(inner) and np.diff(np.flatnonzero(np.concatenate([[True], (c & _SIGN) > 0, [True]]))).max() <= SHORTEST else None
     has = {f: bool((c & f).any()) for f in (_DIGIT, _UPPER, _LOWER, _SIGN)}
     if not has[_SIGN] and ((c & _HEX) > 0).all() and has[_DIGIT]:
         return "hex", np.where(codes < 58, codes - 48, codes - 87)
+    if not has[_SIGN] and not has[_LOWER] and has[_DIGIT] and (codes <= 70).all():
+        return "hex", np.where(codes < 58, codes - 48, codes - 55)
     if not has[_SIGN] and not has[_LOWER] and has[_DIGIT] and ((codes >= 65) | ((codes >= 50) & (codes <= 55))).all():
         return "base32", np.where(codes < 58, codes - 24, codes - 65)
     if not has[_SIGN] and not has[_UPPER] and has[_DIGIT]:
@@ -74,6 +83,7 @@ def alphabet(codes: np.ndarray) -> tuple[str, np.ndarray] | None:
     return None
 
 
+_OUTER = np.array([ord("="), ord("/")])
 _SIZES = {"hex": 16, "base32": 32, "base36": 36, "upper36": 36, "base64": 64, "letters": 26}
 
 
@@ -112,28 +122,41 @@ def battery(values: np.ndarray, k: int) -> float:
     return min(1.0, 3 * min(p))
 
 
-def _candidates(codes: np.ndarray, classes: np.ndarray) -> list[tuple[int, int, str, float]]:
+def _pieces(codes: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of a run and of its parts between signs, of each kind of cut, each once."""
+    out = {(0, len(codes)): None}
+    if (_CLASS[codes] & _SIGN).any():
+        for signs in CUTS:
+            out |= dict.fromkeys(map(tuple, _runs(~np.isin(codes, [ord(x) for x in signs]), SHORTEST).tolist()))
+    return list(out)
+
+
+def _candidates(codes: np.ndarray, classes: np.ndarray) -> list[tuple[int, int, str, float, int]]:
+    """(start, end, encoding, p-value, symbols) of runs and their parts; parts lie inside their run or apart."""
     out = []
     ok = classes > 0
     for a, b in _runs(ok, SHORTEST).tolist():
-        part = codes[a:b]
-        found = alphabet(part)
-        if found and len(found[1]) >= SHORTEST:
-            out.append((a, b, found[0], battery(found[1], _SIZES[found[0]])))
+        for x, y in _pieces(codes[a:b]):
+            found = alphabet(codes[a + x : a + y])
+            if found and len(found[1]) >= SHORTEST:
+                out.append((a + x, a + y, found[0], battery(found[1], _SIZES[found[0]]), len(found[1])))
     return out
 
 
 def _decoys(codes: np.ndarray, classes: np.ndarray, lengths: list[int]) -> list[tuple[int, float]]:
-    """For each candidate a stretch of ordinary text of its length: the lower-case letters of the text in order."""
+    """Stretches of ordinary text: the lower-case letters of the text in order, cut to the candidates' lengths
+    (up to DECOYS times each, as far as they last), then once more to a length of each band."""
     letters = codes[(classes & _LOWER) > 0] - 97
-    out, at = [], 0
-    for n in lengths:
-        if at + n > len(letters):
-            at = 0
-        if n > len(letters):
-            continue
-        out.append((n, battery(letters[at : at + n], 26)))
-        at += n
+    out = []
+    for wanted in (lengths * DECOYS, [lo + len(letters) % (hi - lo) for lo, hi in BANDS]):
+        at = 0
+        for n in wanted:
+            if at + n > len(letters):
+                if len(letters) - at < SHORTEST:
+                    break
+                continue
+            out.append((n, battery(letters[at : at + n], 26)))
+            at += n
     return out
 
 
@@ -156,12 +179,12 @@ def scan(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                 codes = codes.astype(np.int64)
                 base = base_spans(t, classes)
                 cand = _candidates(codes, classes)
-                fake = _decoys(codes, classes, [e - s for s, e, _, _ in cand])
+                fake = _decoys(codes, classes, [n for *_, n in cand])
                 held = [(s, e) for s, _, e in base]
                 rows.append(
                     (
                         [{"start": s, "kind": k, "end": e} for s, k, e in base],
-                        [{"start": s, "end": e, "encoding": enc, "band": band_of(e - s), "p": p, "new": not any(s < y and x < e for x, y in held)} for s, e, enc, p in cand],
+                        [{"start": s, "end": e, "encoding": enc, "band": band_of(n), "p": p, "new": not any(s < y and x < e for x, y in held)} for s, e, enc, p, n in cand],
                         [{"band": band_of(n), "p": p} for n, p in fake],
                     )
                 )
@@ -175,9 +198,12 @@ def thresholds(scanned: DataFrame) -> list[float]:
     """Per length band the least p-value from which candidates count as random.
 
     Candidates and decoys (ordinary text of the same lengths) are counted in bins of p over all rows. The
-    threshold is the lowest at which the decoys above it, one added, are at most RATE of the candidates above
-    it; it is never under ALPHA. Short strings thus need a higher p, because decoys of their length often
-    pass. At most 6 * 201 counts come back. A band where no threshold does gets 2 (nothing passes).
+    threshold is the lowest at which the candidates that would pass if all were ordinary text (the share of decoys
+    above it, one added, of all candidates) are at most RATE of the candidates above it; it is never under ALPHA.
+    There are more decoys than candidates, so a single candidate can pass. Where a band's own decoys are too few,
+    those of shorter bands are added, which pass more often. Short strings thus need a higher p, because decoys of
+    their length often pass. At most 6 * 201 counts of each kind come back. A band where no threshold does gets 2
+    (nothing passes).
     """
     bin_of = F.least(F.floor(F.sqrt(F.sqrt("x.p")) * BINS), F.lit(BINS)).cast("int").alias("bin")  # finer near 0
     parts = [scanned.select(F.explode(c).alias("x"), F.lit(w).alias("decoy")).select("x.band", bin_of, "decoy") for c, w in (("cand", False), ("decoys", True))]
@@ -186,10 +212,17 @@ def thresholds(scanned: DataFrame) -> list[float]:
     for r in counted:
         (fake if r["decoy"] else real)[r["band"], r["bin"]] += r["count"]
     out = []
+    allowed = (np.arange(BINS + 1) / BINS) ** 4 >= ALPHA
     for k in range(6):
-        above_real, above_fake = real[k][::-1].cumsum()[::-1], fake[k][::-1].cumsum()[::-1]
-        good = np.flatnonzero((above_fake + 1 <= RATE * above_real) & ((np.arange(BINS + 1) / BINS) ** 4 >= ALPHA))
-        out.append(float((good[0] / BINS) ** 4) if len(good) else 2.0)
+        above_real, least = real[k][::-1].cumsum()[::-1], 2.0
+        for first in range(k, -1, -1):
+            decoys = fake[first : k + 1].sum(axis=0)
+            above_fake = decoys[::-1].cumsum()[::-1]
+            good = np.flatnonzero(((above_fake + 1) * real[k].sum() <= RATE * above_real * decoys.sum()) & (above_real > 0) & allowed)
+            if len(good):
+                least = float((good[0] / BINS) ** 4)
+                break
+        out.append(least)
     return out
 
 
@@ -203,7 +236,9 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """
     scanned = scan(docs, text, id_col).checkpoint()
     least = F.array(*map(F.lit, thresholds(scanned)))
-    fresh = F.filter("cand", lambda c: c["new"] & (c["p"] >= F.element_at(least, c["band"] + 1)))
+    passed = F.filter("cand", lambda c: c["new"] & (c["p"] >= F.element_at(least, c["band"] + 1)))
+    wider = lambda w, c: (w["start"] <= c["start"]) & (w["end"] >= c["end"]) & (w["end"] - w["start"] > c["end"] - c["start"])
+    fresh = F.filter(passed, lambda c: ~F.exists(passed, lambda w: wider(w, c)))  # not the parts of what passes whole
     both = F.sort_array(F.concat("base", F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))
     names = F.array(*map(F.lit, KINDS))
 

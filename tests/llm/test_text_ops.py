@@ -327,3 +327,16 @@ def test_leak_scores_alike_at_every_size(spark):
         assert [i for i, *_ in found] == [4]
         scores.append(found[0][2])
     assert abs(scores[0] - scores[1]) < 0.001
+
+
+def test_secrets_behind_separators_and_in_small_tables(spark):
+    rng = random.Random(9)
+    key = lambda n, symbols: "".join(rng.choice(symbols) for _ in range(n))
+    low, hexes = "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    uuid = "-".join(key(n, hexes) for n in (8, 4, 4, 4, 12))
+    keys = {"auth=": key(40, low), "sk-": key(48, low), "session_id=": uuid, "id ": key(64, hexes).upper(), "/v1/users/": key(44, low), "AUTH_": key(40, low.upper()), "at ": uuid[::-1].upper()}
+    plain = " ".join(rng.choice(["the", "and", "house", "river", "walking", "stones"]) for _ in range(400))
+    for before, k in keys.items():  # one key in the whole table
+        df = spark.createDataFrame([(1, f"{plain} {before}{k} {plain} state-of-the-art-things-and-others-2024-01-02")], "doc_id long, text string")
+        a = len(plain) + 1 + len(before)
+        assert [r.spans for r in secrets.find_secrets(df).collect()] == [f"random:{a}:{a + len(k)}"], before
