@@ -279,16 +279,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
     """
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, first_word int, cosine double, lcs double, answer double"
-    own = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, -(-size["n"] // ITEMS), -(-size["chars"] // CHARACTERS))
     out = None
-    for block in range(blocks):
-        chosen = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        items = [(r["i"], ws) for r in sorted(chosen.collect(), key=lambda r: (str(r["i"]), r["t"])) if len(ws := words_of(r["t"])) >= SHORTEST]
-        if not items:
-            continue
-        held = _block(docs, text, items)
+    for held in _blocks(docs, benchmark, text, item_text, item_id):
 
         def run(batches: Iterable[pd.DataFrame], held: Block = held) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -300,6 +292,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The rows in which find_leaks finds nothing, whatever their ids, with all columns."""
+    out = docs
+    for held in _blocks(docs, benchmark, text, item_text, item_id):
+        out = out.filter(_clean(held)(text))
+    return out
+
+
+def _clean(held: Block):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not t or next(held.search(words_of(t)), None) is None for t in texts], dtype=bool)
+
+    return clean
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str) -> Iterator[Block]:
+    own = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEMS), -(-size["chars"] // CHARACTERS))
+    for block in range(blocks):
+        chosen = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+        items = [(r["i"], ws) for r in sorted(chosen.collect(), key=lambda r: (str(r["i"]), r["t"])) if len(ws := words_of(r["t"])) >= SHORTEST]
+        if items:
+            yield _block(docs, text, items)
+
+
 def _block(docs: DataFrame, text: str, items: list[tuple[int, list[str]]]) -> Block:
     vocabulary = Vocabulary(items)
     documents, df = document_counts(docs, text, vocabulary)

@@ -190,6 +190,24 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", id_co
     return docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__t")).mapInPandas(run, schema)
 
 
+def keep_good(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows that classify_quality keeps, whatever their ids, with all columns."""
+    model = fit(docs, text, id_col)
+    if model is None:
+        return docs.limit(0)
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        z = []
+        for t in texts:
+            t = t or ""
+            cols, vals = sparse_row(t, _vote(t)[1])
+            z.append(float((model.weights[cols] * vals).sum()) + model.bias if len(cols) else -30.0)
+        return pd.Series(np.array(z) >= 0)
+
+    return docs.filter(kept(text))
+
+
 def classify_quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Votes, posterior and score of every row; kept where the score is 0.5 or more.
 

@@ -258,6 +258,28 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     )
 
 
+def redact_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """All rows, whatever their ids, with all columns: the spans of find_secrets replaced by their kinds. Texts are
+    tested once for the thresholds and once more where they are replaced, so that rows aren't joined."""
+    least = thresholds(scan(docs, text, id_col).select("cand", "decoys").checkpoint())
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([t if not t else redact(t, _spans(t, least)) for t in texts], dtype=object)
+
+    return docs.withColumn(text, clean(text))
+
+
+def _spans(text: str, least: list[float]) -> str:
+    """The spans of one text, as find_secrets has them."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    classes = _CLASS[np.where(codes < 128, codes, 0)]
+    base = base_spans(text, classes)
+    cand = [(a, b) for a, b, _, p, n in _candidates(codes.astype(np.int64), classes) if p >= least[band_of(n)] and not any(a < y and x < b for x, _, y in base)]
+    fresh = [(a, 3, b) for a, b in cand if not any(x <= a and b <= y and y - x > b - a for x, y in cand)]
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + fresh))
+
+
 def redact(text: str, spans: str) -> str:
     """The text with every span (kind:start:end, comma-joined) replaced by its kind in brackets; overlapping
     spans are replaced as one, under the first one's kind."""

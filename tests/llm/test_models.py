@@ -150,3 +150,19 @@ def test_pipeline(spark):
     assert not docs.filter(r"text RLIKE '[0-9a-f]{24,}'").count()
     packed = corpus_pipeline.run(spark, DIR)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept["secrets"]
+
+
+def test_stages_on_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    for stage, texts, wanted in (
+        (corpus_pipeline.quality, ["", ""], []),
+        (corpus_pipeline.decontaminate, [item, "nothing here"], ["nothing here"] * 2),
+        (corpus_pipeline.secrets, ["a token=abcdef1 b", "first token=abcdef2 end", "none"], ["a [assign] b", "first [assign] end", "none"] * 2),
+    ):
+        good = docs.limit(400) if stage is corpus_pipeline.quality else docs.limit(40)
+        odd = docs.limit(1).crossJoin(spark.createDataFrame([(i, t) for i in (None, -5) for t in texts], "i long, t string"))
+        rows = good.unionByName(odd.withColumn("doc_id", odd["i"]).withColumn("text", odd["t"]).drop("i", "t")).checkpoint()
+        left = stage(spark, rows, DIR).filter("doc_id IS NULL OR doc_id = -5").collect()
+        assert sorted(r.text for r in left) == sorted(wanted), stage
+        assert stage is not corpus_pipeline.secrets or all(r.n_chars == len(r.text) for r in left if "[" in r.text)
