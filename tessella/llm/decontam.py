@@ -9,19 +9,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Benchmark items and their characters handled at a time (this bounds what is sent to tasks; further blocks scan the
-#: documents again).
-ITEMS, CHARACTERS = 4096, 1_000_000
+#: Benchmark items, and their words, handled at a time: this bounds what is sent to tasks (a block's scores take at most
+#: 4 * RANK bytes a word, 64 MB); further blocks scan the documents again.
+ITEMS, WORDS = 4096, 1 << 16
 #: Latent dimensions, and so many items at most are decomposed together: a part has a dimension for each of its items,
 #: and none of an item's weight is lost. Extra columns and power iterations of the randomised decomposition.
 RANK, EXTRA, POWER = 256, 10, 2
-#: Window lengths in words, carried on by halves up to the longest item; hop, or an eighth of the window; least cosine
-#: of a candidate.
-WINDOWS, HOP, COSINE = (16, 32, 48, 64), 8, 0.3
-#: A candidate is a leak if so much of the item is in it in order, and so much of the item's answer words, 3 at
-#: least. Answer words are an item's rarest: up to 12 that fewer than one document in 100 holds (in small
-#: collections fewer than n^0.4 of n), 5 at least.
-LCS, ANSWER, LEAST, ANSWER_WORDS, FEWEST, RARE, SHORTEST = 0.6, 0.4, 3, 12, 5, float(np.log(100)), 5
+#: Words in a row that are summed up as one; window lengths in such rows, carried on by halves up to the longest item; a
+#: window moves by a row, or by an eighth of its length.
+ROW, WINDOWS = 8, (2, 4, 6, 8)
+#: A window is a candidate for an item from this cosine on, if it also holds this share of the item's weight.
+COSINE, SHARE = 0.3, 0.2
+#: A candidate is a leak if so much of the item is in it in order, and so much of the weight of the item's answer words:
+#: the rarest of its different words, so much of them. As most of an item's different words count, a paraphrase that
+#: replaces just the rarest ones still keeps enough.
+LCS, RAREST, ANSWER, SHORTEST = 0.6, 2 / 3, 0.4, 5
+#: Rows of words looked at together.
+CHUNK = 256
 _MARKS = ".,;:!?\"'()[]{}|*%&#$<>=/\\_~^`«»„“”…"
 
 
@@ -48,9 +52,9 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 def window_sizes(longest: int) -> list[int]:
-    """Window lengths for items of so many words at most."""
+    """Window lengths, in rows of words, for items of so many words at most."""
     sizes = list(WINDOWS)
-    while sizes[-1] < longest:
+    while sizes[-1] * ROW < longest:
         sizes.append(sizes[-1] * 3 // 2)
     return sizes
 
@@ -67,20 +71,12 @@ class Vocabulary:
         return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
     def weigh(self, documents: int, df: np.ndarray) -> None:
-        self.idf = np.log((documents + 1) / (df + 1))
-        self.answers = []
+        self.idf = np.log1p(documents / (df + 1))  # over 0 also for words that every document holds
+        self.answers = []  # per item, its answer words and their shares of the weight
         for r in self.rows:
             own = np.unique(r)
-            own = own[np.argsort(-self.idf[own], kind="stable")][:ANSWER_WORDS]
-            self.answers.append(own[: max(FEWEST, int((self.idf[own] >= min(RARE, 0.6 * np.log(documents + 1))).sum()))])
-        self.needed = [max(min(LEAST, len(a)), ANSWER * len(a)) for a in self.answers]
-        self.anchor = np.zeros(len(self.idf), bool)
-        self.holders: dict[int, list[int]] = {}
-        for i, words in enumerate(self.answers):
-            self.anchor[words] = True
-            for w in words.tolist():
-                self.holders.setdefault(w, []).append(i)
-        self.near = max([WINDOWS[-1], *(2 * len(r) for r in self.rows)])
+            own = own[np.argsort(-self.idf[own], kind="stable")][: int(np.ceil(RAREST * len(own)))]
+            self.answers.append(dict(zip(own.tolist(), (self.idf[own] / max(1e-9, self.idf[own].sum())).tolist(), strict=True)))
 
 
 def document_counts(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
@@ -138,112 +134,79 @@ def randomized_basis(passages: DataFrame, size: int, rank: int, seed: int = 11)
 
 
 class Index:
-    """A part of a block's items in latent space."""
+    """A part of a block's items in latent space.
+
+    Folding a window in is linear: its score for an item is the sum of its words' scores, the product of the word's
+    and the item's latent vectors. So the words' scores are kept, and a window costs sums only.
+    """
 
     def __init__(self, vocabulary: Vocabulary, basis: np.ndarray):
         self.vocabulary = vocabulary
-        self.vectors = (basis * vocabulary.idf[:, None]).astype(np.float32)
-        self.items = np.stack([self.vectors[r].sum(axis=0) for r in vocabulary.rows])
-        self.items /= np.maximum(np.linalg.norm(self.items, axis=1, keepdims=True), 1e-9)
+        vectors = basis * vocabulary.idf[:, None]
+        items = np.stack([vectors[r].sum(axis=0) for r in vocabulary.rows])
+        self.norms = np.maximum(np.linalg.norm(items, axis=1), 1e-9).astype(np.float32)
+        #: Per word and item: the share of the item's weight that the word stands for.
+        self.scores = np.ascontiguousarray((vectors @ (items / self.norms[:, None] ** 2).T).astype(np.float32))
+        self.mass = (vocabulary.idf**2).astype(np.float32)
         self.lists = [r.tolist() for r in vocabulary.rows]
-        self.answer = [set(a.tolist()) for a in vocabulary.answers]
         self.sizes = window_sizes(max(map(len, self.lists)))
 
-    def regions(self, at: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of words that hold enough of some item's answer words to pass the last check."""
-        v = self.vocabulary
-        hits = np.flatnonzero((at >= 0) & v.anchor[np.maximum(at, 0)])
-        if len(hits) < 2:
-            return []
-        cuts = np.flatnonzero(np.diff(hits) > v.near) + 1
-        out = []
-        for run in np.split(hits, cuts):
-            votes: dict[int, int] = {}
-            for w in set(at[run].tolist()):
-                for i in v.holders[w]:
-                    votes[i] = votes.get(i, 0) + 1
-            if any(n >= v.needed[i] for i, n in votes.items()):
-                out.append((max(0, int(run[0]) - v.near), min(len(at), int(run[-1]) + v.near + 1)))
-        return out
-
-    def dense(self, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, end) of stretches about an item's answer words, where enough of them lie close together."""
-        v = self.vocabulary
-        hits = np.flatnonzero((at >= 0) & v.anchor[np.maximum(at, 0)])
-        places: dict[int, list[tuple[int, int]]] = {}
-        for p, w in zip(hits.tolist(), at[hits].tolist(), strict=True):
-            for i in v.holders[w]:
-                places.setdefault(i, []).append((p, w))
-        for i, found in places.items():
-            if len(found) < v.needed[i]:
+    def candidates(self, at: np.ndarray) -> dict[int, list[tuple[float, int, int]]]:
+        """Per item (cosine, first, end) of the windows near it; words as places, -1 for those that no item holds,
+        which weigh nothing."""
+        out: dict[int, list[tuple[float, int, int]]] = {}
+        longest, rows = self.sizes[-1], -(-len(at) // ROW)
+        for lo in range(0, rows, CHUNK):
+            hi = min(rows, lo + CHUNK + longest)  # windows that begin in this chunk
+            part = at[lo * ROW : hi * ROW]
+            hits = np.flatnonzero(part >= 0)
+            if not len(hits):
                 continue
-            n = len(self.lists[i])
-            reach = max(2 * n, n + WINDOWS[-1])
-            held: dict[int, int] = {}
-            end, free = 0, 0
-            for p, w in found:
-                while end < len(found) and found[end][0] < p + reach:
-                    held[found[end][1]] = held.get(found[end][1], 0) + 1
-                    end += 1
-                if p >= free and len(held) >= v.needed[i]:
-                    yield i, max(0, p - n), min(len(at), p + reach + n)
-                    free = p + max(1, n // 2)
-                held[w] -= 1
-                if not held[w]:
-                    del held[w]
+            words, row = part[hits], hits // ROW
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            share = np.zeros((hi - lo + 1, len(self.norms)), np.float32)
+            mass = np.zeros(hi - lo + 1, np.float32)
+            share[row[first] + 1] = np.add.reduceat(self.scores[words], first, axis=0)
+            mass[row[first] + 1] = np.add.reduceat(self.mass[words], first)
+            np.cumsum(share, axis=0, out=share)
+            np.cumsum(mass, out=mass)
+            for size in self.sizes:
+                hop = max(1, size // 8)
+                starts = np.arange(0, max(1, min(hi - lo - size + hop, CHUNK)), hop)
+                ends = np.minimum(starts + size, hi - lo)
+                told = share[ends] - share[starts]
+                near = told >= SHARE
+                if not near.any():
+                    continue
+                norm = np.sqrt(np.maximum(mass[ends] - mass[starts], 1e-9))
+                for k, i in zip(*np.nonzero(near), strict=True):
+                    cosine = float(told[k, i] * self.norms[i] / norm[k])
+                    if cosine >= COSINE:
+                        out.setdefault(int(i), []).append((cosine, (lo + int(starts[k])) * ROW, min(len(at), (lo + int(ends[k])) * ROW)))
+        return out
 
     def search(self, at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-        """(item, first word, cosine, share in order, share of answer words) of every leak; words as places.
+        """(item, first word, cosine, share in order, share of the answer words' weight) of every leak; words as places.
 
-        Every spot near an item by cosine is checked, then those that hold enough of an item's answer words,
-        whatever their cosine.
+        Every window near an item by cosine is compared with it, the nearest first, with as many words as the item has
+        to both sides.
         """
-        v = self.vocabulary
-        best: dict[int, tuple] = {}
-
-        def check(i: int, a: int, b: int, lo: int, part: np.ndarray, cosine: float) -> bool:
-            text = part[a:b].tolist()
-            told = len(self.answer[i].intersection(text))
-            if told < v.needed[i]:
-                return False
-            share = lcs(self.lists[i], text) / len(self.lists[i])
-            if share < LCS:
-                return False
-            if i not in best or best[i][3] < share:
-                best[i] = (i, lo + a, min(1.0, cosine), share, told / len(self.answer[i]))
-            return True
-
-        for lo, hi in self.regions(at):
-            part = at[lo:hi]
-            known = part >= 0
-            vec = np.where(known[:, None], self.vectors[np.maximum(part, 0)], np.float32(0))
-            weight = np.where(known, v.idf[np.maximum(part, 0)], 0.0) ** 2  # other words have no weight, known or not
-            sums = np.concatenate([np.zeros((1, vec.shape[1])), np.cumsum(vec, axis=0, dtype=np.float64)])
-            mass = np.concatenate([[0.0], np.cumsum(weight)])
-            spots: dict[int, list[tuple[float, int, int]]] = {}
-            for size in self.sizes:
-                hop = max(HOP, size // 8)
-                starts = np.arange(0, max(1, len(part) - size + hop), hop)
-                ends = np.minimum(starts + size, len(part))
-                z = sums[ends] - sums[starts]
-                norm = np.sqrt(np.maximum(mass[ends] - mass[starts], 1e-9))
-                cosine = (z @ self.items.T) / norm[:, None]
-                for k, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    spots.setdefault(int(i), []).append((float(cosine[k, i]), int(starts[k]), int(ends[k])))
-            for i, found in spots.items():
-                n, tried = len(self.lists[i]), []
-                for cosine, a, b in sorted(found, reverse=True):
-                    a, b = max(0, min(a, b - n) - n), min(len(part), max(b, a + n) + n)
-                    if any(x <= a and b <= y for x, y in tried):  # a longer stretch has failed
-                        continue
-                    if check(i, a, b, lo, part, cosine):
-                        break
-                    tried.append((a, b))
-            for i, a, b in self.dense(part):
-                if i not in best:
-                    cosine = float((sums[b] - sums[a]) @ self.items[i] / np.sqrt(max(mass[b] - mass[a], 1e-9)))
-                    check(i, a, b, lo, part, cosine)
-        return list(best.values())
+        out = []
+        for i, found in self.candidates(at).items():
+            item, n, tried = self.lists[i], len(self.lists[i]), []
+            for cosine, a, b in sorted(found, reverse=True):
+                a, b = max(0, min(a, b - n) - n), min(len(at), max(b, a + n) + n)
+                if any(x <= a and b <= y for x, y in tried):  # a longer stretch has failed
+                    continue
+                text = at[a:b].tolist()
+                answer = self.vocabulary.answers[i]
+                told = sum(answer[w] for w in answer.keys() & set(text))
+                share = lcs(item, text) / n if told >= ANSWER else 0.0
+                if share >= LCS:
+                    out.append((i, a, min(1.0, cosine), share, min(1.0, told)))
+                    break
+                tried.append((a, b))
+        return out
 
 
 class Block:
@@ -257,7 +220,7 @@ class Block:
             self.own.append(places)
 
     def search(self, words: list[str]) -> Iterator[tuple]:
-        """(item's id, first word, cosine, share in order, share of answer words) of every leak."""
+        """(item's id, first word, cosine, share in order, share of the answer words' weight) of every leak."""
         at = self.vocabulary.places(words)
         for p, places in zip(self.parts, self.own, strict=True):
             for i, *rest in p.search(places[at]):
@@ -269,10 +232,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
 
     Items are weighted by TF-IDF, with document counts over all documents, and decomposed by a distributed
     randomised SVD; windows of the documents are folded into that space, where words that no item holds weigh
-    nothing, so that scores don't change with the number of documents; those near an item by cosine are
-    compared with it by longest common subsequence and by its rarest words, its likely answer. Stretches that
-    hold enough of these words are compared too, whatever their cosine. Items are a query set, sent to tasks in
-    blocks of up to 4096, decomposed in parts of 256; documents aren't shuffled.
+    nothing, so that scores don't change with the number of documents; every window near an item by cosine is
+    compared with it by longest common subsequence and by its rarest words, its likely answer. Items are a query
+    set, sent to tasks in blocks of about 65,000 words, decomposed in parts of 256 items; documents aren't shuffled.
+    first_word is where the stretch begins that was compared, an item's length before the window.
 
     Items of fewer than 5 words, and null items, are not searched; null or empty documents hold nothing.
     Repeated rows on either side give repeated results. Extra columns are left out; empty tables give no rows.
@@ -310,8 +273,8 @@ def _clean(held: Block):
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str) -> Iterator[Block]:
     own = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, -(-size["n"] // ITEMS), -(-size["chars"] // CHARACTERS))
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0)).alias("words")).first()
+    blocks = max(1, -(-size["n"] // ITEMS), -(-size["words"] // WORDS))
     for block in range(blocks):
         chosen = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         items = [(r["i"], ws) for r in sorted(chosen.collect(), key=lambda r: (str(r["i"]), r["t"])) if len(ws := words_of(r["t"])) >= SHORTEST]

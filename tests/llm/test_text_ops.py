@@ -329,6 +329,52 @@ def test_leak_scores_alike_at_every_size(spark):
     assert abs(scores[0] - scores[1]) < 0.001
 
 
+def brute_leaks(rows, items):
+    """Every pair whose longest common subsequence, over the whole document, reaches the share of the item."""
+    number = {}
+    coded = lambda t: [number.setdefault(w, len(number)) for w in decontam.words_of(t)]
+    lists = [(i, coded(t)) for i, t in items]
+    return {(d, i) for d, t in rows for x in [coded(t)] for i, item in lists if decontam.lcs(item, x) >= decontam.LCS * len(item)}
+
+
+@pytest.mark.parametrize("length", [24, 48, 72, 120])
+def test_paraphrases_against_brute_force(spark, length):
+    """Copies with every sixth word replaced, with the rarest third replaced, and behind the item's words in another
+    order; texts drawn by frequency, so that items and documents share many words."""
+    rng = np.random.default_rng(length)
+    words, p = np.array([f"w{k}" for k in range(5000)]), 1 / np.arange(1, 5001)
+    p /= p.sum()
+    draw = lambda n: rng.choice(words, n, p=p).tolist()
+    items = [draw(length) for _ in range(20)]
+    rare = lambda it: set(sorted(set(it), key=lambda w: -int(w[1:]))[: len(set(it)) // 3])
+    rows = []
+    for i, it in enumerate(items):
+        sixth, gone = [f"n{i}-{k}" if k % 6 == 5 else w for k, w in enumerate(it)], rare(it)
+        texts = [sixth, [f"m{i}-{k}" if w in gone and k % 2 else w for k, w in enumerate(it)], rng.permutation(it).tolist() + sixth, it]
+        rows += [(10 * i + k, " ".join(draw(60) + t + draw(60))) for k, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(draw(150))) for i in range(200)]
+    named = [(i, " ".join(t)) for i, t in enumerate(items)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(named, "item_id long, text string")
+    got, wanted = {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, b).collect()}, {(10 * i + k, i) for i in range(20) for k in range(4)}
+    brute = brute_leaks(rows, named)
+    for k in range(4):
+        assert len({x for x in wanted & got if x[0] % 10 == k and x[0] < 1000}) >= 19, k
+    assert got <= brute and len(got & wanted & brute) >= 0.98 * len(wanted & brute)
+    assert len(got - wanted) <= 2
+
+
+def test_leaks_in_odd_tables(spark):
+    """Very long texts, repeated rows on both sides, columns with clashing names."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    item = draw(30)
+    d = spark.createDataFrame([(1, draw(60_000) + " " + item + " " + draw(60_000), 1, "a"), (2, item, 2, "b"), (2, item, 2, "b")], "doc_id long, text string, __i int, cosine string")
+    b = spark.createDataFrame([(7, item, 0), (7, item, 0)], "item_id long, text string, doc_id int")
+    found = decontam.find_leaks(d, b).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 7)] * 2 + [(2, 7)] * 4
+    assert decontam.drop_leaks(d, b).count() == 0 and decontam.drop_leaks(d, b.limit(0)).columns == d.columns
+
+
 def test_secrets_behind_separators_and_in_small_tables(spark):
     rng = random.Random(9)
     key = lambda n, symbols: "".join(rng.choice(symbols) for _ in range(n))
