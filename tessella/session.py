@@ -25,6 +25,7 @@ def get_session(app: str = "tessella", master: str | None = None, **conf: str) -
             builder.master(master)
             .config("spark.sql.shuffle.partitions", str(os.cpu_count() or 8))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
         )
     for key, value in conf.items():
