@@ -24,8 +24,8 @@ COSINE, SHARE = 0.3, 0.2
 #: the rarest of its different words, so much of them. As most of an item's different words count, a paraphrase that
 #: replaces just the rarest ones still keeps enough.
 LCS, RAREST, ANSWER, SHORTEST = 0.6, 2 / 3, 0.4, 5
-#: Rows of words looked at together.
-CHUNK = 256
+#: Rows of words, and items, looked at together.
+CHUNK, GROUP = 256, 8
 _MARKS = ".,;:!?\"'()[]{}|*%&#$<>=/\\_~^`«»„“”…"
 
 
@@ -145,44 +145,64 @@ class Index:
         vectors = basis * vocabulary.idf[:, None]
         items = np.stack([vectors[r].sum(axis=0) for r in vocabulary.rows])
         self.norms = np.maximum(np.linalg.norm(items, axis=1), 1e-9).astype(np.float32)
-        #: Per word and item: the share of the item's weight that the word stands for.
-        self.scores = np.ascontiguousarray((vectors @ (items / self.norms[:, None] ** 2).T).astype(np.float32))
+        self.sizes = window_sizes(max(map(len, vocabulary.rows)))
+        #: Per item the longest window: the first that is as long as the item.
+        self.reach = np.searchsorted(np.array(self.sizes) * ROW, [len(r) for r in vocabulary.rows])
+        # items are looked at in groups of similar length and direction
+        direction = np.argmax(np.abs(items[:, :GROUP]), axis=1)
+        order = np.lexsort((items[:, 0] / self.norms, direction, self.reach))
+        self.groups = [g[lo : lo + GROUP] for k in np.unique(self.reach) for g in [order[self.reach[order] == k]] for lo in range(0, len(g), GROUP)]
+        scores = np.maximum(vectors @ (items / self.norms[:, None] ** 2).T, 0).astype(np.float32)
+        #: Per group, word and item: the share of the item's weight that the word stands for.
+        self.scores = [np.ascontiguousarray(scores[:, g]) for g in self.groups]
+        #: Per word and group, the largest of these: no item of the group gets more from a window.
+        self.bounds = np.stack([x.max(axis=1) for x in self.scores], axis=1)
         self.mass = (vocabulary.idf**2).astype(np.float32)
         self.lists = [r.tolist() for r in vocabulary.rows]
-        self.sizes = window_sizes(max(map(len, self.lists)))
 
     def candidates(self, at: np.ndarray) -> dict[int, list[tuple[float, int, int]]]:
         """Per item (cosine, first, end) of the windows near it; words as places, -1 for those that no item holds,
-        which weigh nothing."""
+        which weigh nothing. An item is only looked at where its group's bound allows its longest window to be near."""
         out: dict[int, list[tuple[float, int, int]]] = {}
-        longest, rows = self.sizes[-1], -(-len(at) // ROW)
+        rows, reach = -(-len(at) // ROW), [int(self.reach[g[0]]) for g in self.groups]
+        kinds = sorted(set(reach))
         for lo in range(0, rows, CHUNK):
-            hi = min(rows, lo + CHUNK + longest)  # windows that begin in this chunk
+            hi = min(rows, lo + CHUNK + self.sizes[-1])  # windows that begin in this chunk
             part = at[lo * ROW : hi * ROW]
             hits = np.flatnonzero(part >= 0)
             if not len(hits):
                 continue
             words, row = part[hits], hits // ROW
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            share = np.zeros((hi - lo + 1, len(self.norms)), np.float32)
-            mass = np.zeros(hi - lo + 1, np.float32)
-            share[row[first] + 1] = np.add.reduceat(self.scores[words], first, axis=0)
-            mass[row[first] + 1] = np.add.reduceat(self.mass[words], first)
-            np.cumsum(share, axis=0, out=share)
-            np.cumsum(mass, out=mass)
-            for size in self.sizes:
-                hop = max(1, size // 8)
-                starts = np.arange(0, max(1, min(hi - lo - size + hop, CHUNK)), hop)
-                ends = np.minimum(starts + size, hi - lo)
-                told = share[ends] - share[starts]
-                near = told >= SHARE
-                if not near.any():
-                    continue
-                norm = np.sqrt(np.maximum(mass[ends] - mass[starts], 1e-9))
-                for k, i in zip(*np.nonzero(near), strict=True):
-                    cosine = float(told[k, i] * self.norms[i] / norm[k])
-                    if cosine >= COSINE:
-                        out.setdefault(int(i), []).append((cosine, (lo + int(starts[k])) * ROW, min(len(at), (lo + int(ends[k])) * ROW)))
+
+            def summed(table: np.ndarray, words: np.ndarray = words, at: np.ndarray = row[first] + 1, first: np.ndarray = first, n: int = hi - lo + 1 + self.sizes[-1]) -> np.ndarray:
+                """Sums of the words' rows of a table from the chunk's start on, per row of words, and on behind its end."""
+                told = np.zeros((n, *table.shape[1:]), np.float32)
+                told[at] = np.add.reduceat(table[words], first, axis=0)
+                return np.cumsum(told, axis=0, out=told)
+
+            bound, near, n = summed(self.bounds), [], min(hi - lo, CHUNK)
+            for k in kinds:
+                own = slice(*np.searchsorted(reach, [k, k + 1]).tolist())
+                size = self.sizes[k]
+                most = (bound[size : size + n, own] - bound[:n, own]).max(axis=0)
+                near += (np.flatnonzero(most >= SHARE) + own.start).tolist()
+            if not near:
+                continue
+            mass = summed(self.mass)
+            for g in near:
+                share, items = summed(self.scores[g]), self.groups[g]
+                for size in self.sizes[reach[g] :: -1]:  # longer windows hold more: when none is near, none that is shorter
+                    hop = max(1, size // 8)
+                    told = share[size : size + n : hop] - share[:n:hop]
+                    k, j = np.nonzero(told >= SHARE)
+                    if not len(k) and hop == 1:
+                        break
+                    start = k * hop
+                    cosine = told[k, j] * self.norms[items[j]] / np.sqrt(np.maximum(mass[start + size] - mass[start], 1e-9))
+                    for c, i, x in zip(cosine.tolist(), items[j].tolist(), start.tolist(), strict=True):
+                        if c >= COSINE:
+                            out.setdefault(i, []).append((c, (lo + x) * ROW, min(len(at), (lo + x + size) * ROW)))
         return out
 
     def search(self, at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
