@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.session import ship
+from tessella.session import checkpoints, ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,12 +27,9 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prepare(spark: SparkSession) -> None:
-    """A checkpoint folder, only where the cluster names none (as in tests)."""
+    """The package on the workers, and a checkpoint folder."""
     ship(spark)
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    checkpoints(spark)
 
 
 @_query

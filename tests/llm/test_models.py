@@ -71,6 +71,22 @@ def test_near_duplicates_edge_tables(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_any_ids(spark):
+    """Ids of text; ids with different texts; a dense group away from its bucket's centre; columns with internal names."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    df = spark.createDataFrame([("y", a), ("x", a + " more"), ("z", b), ("x", b), (None, a), ("w", None)], "doc_id string, text string")
+    rows = neardup.near_duplicates(df.selectExpr("*", "1 AS node", "2 AS digest", "3 AS __i")).collect()
+    assert sorted((r.doc_id or "", r.n_shingles, r.component_id or "", r.kept) for r in rows) == [
+        ("", 56, "", True), ("w", 0, "w", True), ("x", 56, "x", True), ("x", 57, "x", True), ("y", 56, "x", False), ("z", 56, "x", False)
+    ]
+    left = neardup.drop_near_duplicates(df.selectExpr("*", "1 AS node", "2 AS digest"))
+    assert left.columns == ["doc_id", "text", "node", "digest"]
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == [("w", ""), ("x", a + " more"), ("x", b)]
+    many = df.unionByName(df).unionByName(df.limit(0)).unionByName(spark.createDataFrame([(None, "c d"), (None, "c d")], df.schema))
+    assert sorted((r.doc_id or "", r.text or "") for r in neardup.drop_near_duplicates(many).collect()) == [("", "c d"), ("w", ""), ("w", ""), ("x", a + " more"), ("x", b)]
+    assert neardup.drop_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(1, 7), (7, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -152,11 +168,23 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept["secrets"]
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    clash = docs.limit(300).selectExpr("*", "1 AS spans", "2 AS __k", "3 AS node", "4 AS before", "5 AS __t", "6 AS __i", "7 AS uid", "8 AS block").checkpoint()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+        left = stage(spark, clash, DIR)
+        assert left.columns == clash.columns and 0 < left.count() <= 300 and left.filter("spans <> 1 OR `__k` <> 2 OR before <> 4").count() == 0
+    assert corpus_pipeline.pack(spark, docs.limit(0), DIR).count() == 0
+    assert corpus_pipeline.pack(spark, clash, DIR).select("doc_id").distinct().count() == 300
+
+
 def test_stages_on_null_and_repeated_ids(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
     for stage, texts, wanted in (
         (corpus_pipeline.quality, ["", ""], []),
+        (corpus_pipeline.near_duplicate, ["", "one two three four five six seven"], ["", "", "one two three four five six seven"]),
         (corpus_pipeline.decontaminate, [item, "nothing here"], ["nothing here"] * 2),
         (corpus_pipeline.secrets, ["a token=abcdef1 b", "first token=abcdef2 end", "none"], ["a [assign] b", "first [assign] end", "none"] * 2),
     ):
