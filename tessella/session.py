@@ -33,6 +33,20 @@ def get_session(app: str = "tessella", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: the one the cluster names in spark.checkpoint.dir. Only local runs without one get a
+    temporary folder; on a cluster a folder of one machine would lose checkpoints, so that raises."""
+    import tempfile
+
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+
+
 _shipped: set[str] = set()
 
 
