@@ -83,3 +83,28 @@ def insert_at(a: Column, index: int, value) -> Column:
 def pop_back(a: Column) -> Column:
     """The array without its last element."""
     return F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+
+
+def front(a: Column) -> Column:
+    """The first element; null for an empty array."""
+    return F.try_element_at(a, F.lit(1))
+
+
+def back(a: Column) -> Column:
+    """The last element; null for an empty array."""
+    return F.try_element_at(a, F.lit(-1))
+
+
+def resize(a: Column, n: int, default) -> Column:
+    """The first n elements, filled up with a default."""
+    return F.concat(F.slice(a, 1, n), F.array_repeat(F.lit(default), F.greatest(F.lit(n) - F.size(a), F.lit(0))))
+
+
+def sorted_view(a: Column, descending: bool = False) -> Column:
+    """The elements in order (nulls first, or last when descending); the array itself stays as it is."""
+    return F.sort_array(a, asc=not descending)
+
+
+def sorted_fields(arrays: dict[str, Column]) -> list[Column]:
+    """Every typed array sorted by itself, under its name."""
+    return [F.sort_array(a).alias(n) for n, a in arrays.items()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -19,5 +21,7 @@ def utilisation_bins(df: DataFrame, start: str, end: str, width: int) -> DataFra
     b0 = F.col("__lo") + F.col("bin") * width
     part = (F.least(F.col(end), b0 + width) - F.greatest(F.col(start), b0)) / width
     busy = spread.groupBy("bin").agg(F.sum(part).alias("busy"))
-    bins = bounds.filter(F.col("__hi") > F.col("__lo")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("__hi") - F.col("__lo")) / width) - 1)).alias("bin"))
+    ends = bounds.select("__lo", "__hi").first()
+    n = max(0, math.ceil((ends[1] - ends[0]) / width)) if ends[0] is not None and ends[1] is not None else 0
+    bins = df.sparkSession.range(n).withColumnRenamed("id", "bin")
     return bins.join(busy, "bin", "left").select("bin", F.coalesce("busy", F.lit(0.0)).alias("busy"))

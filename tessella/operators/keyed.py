@@ -95,6 +95,16 @@ def apply_on(table: DataFrame, updates: DataFrame, key: str, value: str, expr: C
     return joined.select(key, F.when(F.col("__hit"), expr).otherwise(F.col(value)).alias(value))
 
 
+def apply_nullable(table: DataFrame, updates: DataFrame, key: str, value: str, present: Column, absent: Column) -> DataFrame:
+    """Read-modify-write that may find nothing: `present` is over value and the update's columns (one per key), `absent`
+    over the update's columns alone. A null from either leaves the key out, so nothing is inserted by looking."""
+    held = table.select(key, value, F.lit(True).alias("__held"))
+    joined = held.join(updates.withColumn("__hit", F.lit(True)), key, "full")
+    new = F.when(F.col("__hit").isNull(), F.col(value)).when(F.col("__held"), present).otherwise(absent)
+    gone = F.col("__hit") & new.isNull()
+    return joined.filter(~F.coalesce(gone, F.lit(False))).select(key, new.alias(value))
+
+
 def each_until(table: DataFrame, predicate: Column, n: int) -> DataFrame:
     """A scan that may end early: up to n matching rows."""
     return table.filter(predicate).limit(n)

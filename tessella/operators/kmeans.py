@@ -3,31 +3,65 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.functions.numbers import squared_distance
 
+def assign(points: DataFrame, means: list[list[float]], vector: str = "d", block: int = 1024) -> DataFrame:
+    """Adds cluster: the nearest mean, the first one in a tie. Null vectors get null.
 
-def assign(points: DataFrame, means: list[list[float]], vector: str = "d") -> DataFrame:
-    """Adds cluster: the nearest mean, the first one in a tie. Means are a parameter of k vectors,
-    held as literals, so points are neither joined nor moved."""
-    ms = F.array(*(F.array(*(F.lit(x) for x in m)) for m in means))
-    dist = F.transform(ms, lambda m, i: F.struct(squared_distance(F.col(vector), m).alias("dist"), i.alias("i")))
-    return points.withColumn("cluster", F.array_min(dist).getField("i"))
+    The means, a parameter of k vectors, go to the tasks as one matrix; points are neither joined nor moved. Distances
+    are sums of squared differences, as exact as doubles are, in blocks of about `block` thousand of them.
+    """
+    matrix = np.array(means, float)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        out = pd.Series(pd.NA, index=vectors.index, dtype="Int32")
+        held = vectors[vectors.notna()]
+        step = max(1, block * 1000 // matrix.size)
+        for lo in range(0, len(held), step):
+            part = held.iloc[lo : lo + step]
+            x = np.stack([np.asarray(v, float) for v in part])
+            dist = np.empty((len(x), len(matrix)))
+            for k, m in enumerate(matrix):
+                dist[:, k] = np.square(x - m).sum(axis=1)
+            out[part.index] = dist.argmin(axis=1)
+        return out
+
+    return points.withColumn("cluster", nearest(F.col(vector)))
 
 
 def update(assigned: DataFrame, means: list[list[float]], vector: str = "d", integral: bool = True) -> list[list[float]]:
-    """New means; clusters without points keep theirs. One row per cluster comes back to the driver."""
-    dims = len(means[0])
-    aggs = [F.sum(F.col(vector)[i]).alias(f"s{i}") for i in range(dims)]
-    rows = assigned.groupBy("cluster").agg(F.count("*").alias("n"), *aggs).collect()
+    """New means; clusters without points keep theirs. Each task adds up its points; k * dims sums come to the driver."""
     out = [list(m) for m in means]
-    for r in rows:
-        out[r["cluster"]] = [int(r[f"s{i}"] / r["n"]) if not integral else _trunc(r[f"s{i}"], r["n"]) for i in range(dims)]
+    for r in vector_totals(assigned, vector, integral).collect():
+        out[r["cluster"]][r["i"]] = _trunc(r["x"], r["n"]) if integral else int(r["x"] / r["n"])
     return out
 
 
+def vector_totals(assigned: DataFrame, vector: str = "d", integral: bool = True) -> DataFrame:
+    """(cluster, i, n, x): per cluster and dimension the number of points and their sum, exact for integers (64 bits
+    within a task, 38 digits beyond)."""
+    dtype, kind = (np.int64, "long") if integral else (np.float64, "double")
+
+    def share(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for k, part in b.dropna(subset=["cluster", "v"]).groupby("cluster")["v"]:
+                n, t = held.get(k, (0, 0))
+                held[k] = n + len(part), t + np.stack([np.asarray(v, dtype) for v in part]).sum(axis=0)
+        if held:
+            yield pd.DataFrame({"cluster": list(held), "n": [n for n, _ in held.values()], "sums": [t for _, t in held.values()]})
+
+    parts = assigned.select("cluster", F.col(vector).alias("v")).mapInPandas(share, f"cluster int, n long, sums array<{kind}>")
+    x = F.sum(F.col("x").cast("decimal(38,0)") if integral else F.col("x"))
+    return parts.select("cluster", "n", F.posexplode("sums").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), x.alias("x"))
+
+
 def _trunc(total: int, n: int) -> int:
     total = int(total)
     return total // n if total >= 0 else -(-total // n)

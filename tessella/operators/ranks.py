@@ -4,48 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
-
-
-def _number(df: DataFrame, key: str) -> Column:
-    """An order-preserving number for a key: text goes by its first seven bytes."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        raw = F.encode(key, "UTF-8") if isinstance(kind, T.StringType) else F.col(key)
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0"), 16, 10).cast("long")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(key).cast("timestamp"))
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(key)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(key)
-    return F.col(key)
-
-
-def with_pos(df: DataFrame, keys: Sequence[str], name: str = "pos", buckets: int = 64, ties: Sequence[str] = ()) -> DataFrame:
-    """Adds the 0-based position in the order of keys (ascending, nulls first).
-
-    The first key is cut at quantiles into ranges; rows are ranked inside their range and
-    the counts of the ranges before are added. Only the cut points (at most `buckets`)
-    and one count per range are seen outside the ranges. Rows that share a first key
-    share a range, so choose a first key without a dominant value.
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from tessella.session import checkpoints
+
+
+def _order(keys: Sequence[str], descending: bool) -> list[Column]:
+    return [F.col(k).desc_nulls_last() if descending else F.col(k).asc_nulls_first() for k in keys]
+
+
+def with_pos(df: DataFrame, keys: Sequence[str], name: str = "pos", ties: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Adds the 0-based position in the order of keys (ascending with nulls first, or descending with nulls last).
+
+    Rows are range-partitioned by all keys, the ties and at last by the place they were read at, so that neither a
+    common prefix nor a dominant key makes a range large; each range is sorted by Spark (which spills) and numbered
+    inside. The sorted rows are written to the checkpoint folder, since ranges are drawn from a sample and must not be
+    drawn anew; what is seen outside the ranges is one count per range. Among equal keys the order is any.
     """
-    number = _number(df, keys[0])
-    cuts = df.select(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    cut = df.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= number)) if cuts else F.lit(0))
-    cut = cut.withColumn("__r", F.when(number.isNull(), F.lit(-1)).otherwise(F.col("__r")))
-    starts = cut.groupBy("__r").agg(F.count("*").alias("__n"))
-    starts = starts.select("__r", F.coalesce(F.sum("__n").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    order = [F.col(k).asc_nulls_first() for k in [*keys, *ties]]
-    ranked = cut.withColumn("__i", F.row_number().over(W.partitionBy("__r").orderBy(*order)))
-    # one row per range: at most buckets + 1 rows are sent to the executors
-    return ranked.join(F.broadcast(starts), "__r").withColumn(name, (F.col("__s") + F.col("__i") - 1).cast("long")).drop("__r", "__s", "__i")
+    checkpoints(df.sparkSession)
+    columns = df.columns
+    read, place = "__read", "__place"
+    order = [*_order([*keys, *ties], descending), F.col(read).asc()]
+    ranged = df.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    done = ranged.select(*columns, F.monotonically_increasing_id().alias(place)).checkpoint()
+    part = F.call_function("shiftright", F.col(place), F.lit(33))
+    sizes = sorted(tuple(r) for r in done.groupBy(part.cast("int").alias("p")).agg(F.count("*").alias("n")).collect())  # one row per range
+    starts, at = [], 0
+    for p, n in sizes:
+        starts += [None] * (p - len(starts)) + [at]
+        at += n
+    if not starts:
+        return done.withColumn(name, F.lit(0).cast("long")).drop(place)
+    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), part.cast("int") + 1)
+    return done.withColumn(name, start + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(place)
+
+
+def scan_desc(df: DataFrame, keys: Sequence[str], name: str = "pos") -> DataFrame:
+    """Positions of a scan from the largest key down."""
+    return with_pos(df, keys, name, descending=True)
 
 
 def find_by_order(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """The n-th smallest row, from 0; no row when n is out of range."""
-    return with_pos(df, keys).filter(F.col("pos") == n).drop("pos")
+    """The n-th smallest row, from 0; no row when n is out of range. Only rows that share the n-th first key are sorted."""
+    found = nth_values(df, keys[0], [n])
+    if not found:
+        return df.limit(0)
+    value, below = found[0]
+    return df.filter(F.col(keys[0]).eqNullSafe(F.lit(value))).orderBy(*_order(keys, False)).offset(n - below).limit(1)
+
+
+def nth_values(df: DataFrame, key: str, ns: Sequence[int], few: int = 10_000) -> list[tuple]:
+    """(value, rows below it) at places of the order of one key, nulls first, without sorting the table.
+
+    Each round brackets a place by approximate percentiles of what is left, which take bounded memory, and counts
+    the rows below; a bracket shrinks to a thousandth or so. What shares a bracket of up to `few` different values comes
+    back as counts. An empty list if some place is out of range.
+    """
+    x = F.col(key)
+    first = df.agg(F.count("*").alias("n"), F.count(x).alias("held")).first()
+    nulls = first["n"] - first["held"]
+    if any(not 0 <= n < first["n"] for n in ns):
+        return []
+    numeric = dict(df.select(key).dtypes)[key].split("(")[0] in {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz"}
+    out = []
+    for n in ns:
+        if n < nulls:
+            out.append((None, 0))
+            continue
+        part, below, m = df.filter(x.isNotNull()), nulls, first["held"]
+        while numeric and m > few:
+            f = (n - below) / m
+            lo, hi = part.agg(F.percentile_approx(x, [max(0.0, f - 0.001), min(1.0, f + 0.001)], 10_000)).first()[0]
+            r = part.agg(F.count_if(x < F.lit(lo)).alias("b"), F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias("m")).first()
+            if lo == hi or r["m"] == m or not below + r["b"] <= n < below + r["b"] + r["m"]:
+                break  # one value, or values that a percentile can't tell apart
+            part, below, m = part.filter((x >= F.lit(lo)) & (x <= F.lit(hi))), below + r["b"], r["m"]
+        # a bracket's values in order, as far as the place
+        for r in part.groupBy(x.alias("v")).agg(F.count("*").alias("n")).orderBy("v").toLocalIterator():
+            if n < below + r["n"]:
+                out.append((r["v"], below))
+                break
+            below += r["n"]
+    return out
 
 
 def occurrence(df: DataFrame, key: str, order: str = "pos", name: str = "occ") -> DataFrame:
@@ -80,8 +120,8 @@ def range_partitioned(df: DataFrame, n: int, *keys: str) -> DataFrame:
 
 def split_median(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds half: 0 for the lower floor(n/2) rows, 1 for the others."""
-    total = df.agg((F.count("*") / 2).cast("long").alias("__m"))
-    return with_pos(df, keys).crossJoin(F.broadcast(total)).withColumn("half", (F.col("pos") >= F.col("__m")).cast("int")).drop("__m")
+    placed = with_pos(df, keys)
+    return placed.withColumn("half", (F.col("pos") >= F.lit(placed.count() // 2)).cast("int"))
 
 
 def rebase(df: DataFrame, start: int, pos: str = "pos") -> DataFrame:

@@ -59,11 +59,32 @@ def unfollow_by_name(edges: DataFrame, names: DataFrame, users: DataFrame) -> Da
 
 
 def fan_out(posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Home timeline entries (user_id, timestamp, post_id): followers of the author and those mentioned.
-    posts: post_id, user_id, timestamp, mentions array<bigint>."""
+    """Home timeline entries (user_id, timestamp, post_id): followers of the author and those mentioned, each once.
+    posts: post_id (unique), user_id, timestamp, mentions array<bigint>; edges: a set.
+
+    Mentions of followers are left out before the union, so the entries, by far the largest table here, are never
+    grouped. An author with very many followers is split by the skew join of adaptive execution.
+    """
     to_followers = posts.select("post_id", "timestamp", F.col("user_id").alias("dst")).join(edges, "dst").select(F.col("src").alias("user_id"), "timestamp", "post_id")
-    mentioned = posts.select(F.explode("mentions").alias("user_id"), "timestamp", "post_id")
-    return to_followers.unionByName(mentioned).distinct()
+    mentioned = posts.select(F.explode(F.array_distinct("mentions")).alias("src"), F.col("user_id").alias("dst"), "timestamp", "post_id")
+    others = mentioned.join(edges, ["src", "dst"], "left_anti").select(F.col("src").alias("user_id"), "timestamp", "post_id")
+    return to_followers.unionByName(others)
+
+
+def read_home_timeline(posts: DataFrame, edges: DataFrame, start: int, stop: int) -> DataFrame:
+    """Entries start..stop-1 of every home timeline, newest first, with their posts.
+
+    An entry among a user's newest `stop` is among the newest `stop` of its author, or of those that mention the
+    user. So posts are cut per author and per mentioned user before the fan-out, whose size is then bounded by
+    followers times `stop`, however much an author has posted.
+    """
+    if start < 0 or stop <= start:
+        return read_timeline(user_timeline(posts), posts.drop("mentions"), start, stop)
+    entries = posts.select("post_id", "user_id", "timestamp")
+    newest = latest(entries, stop).withColumn("mentions", F.array().cast("array<bigint>"))
+    named = posts.select(F.explode(F.array_distinct("mentions")).alias("user_id"), "timestamp", "post_id", F.col("user_id").alias("dst"))
+    others = latest(named, stop).join(edges.withColumnRenamed("src", "user_id"), ["user_id", "dst"], "left_anti").drop("dst")
+    return read_timeline(fan_out(newest, edges).unionByName(others), posts.drop("mentions"), start, stop)
 
 
 def user_timeline(posts: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.operators.frames import ewm_frame
@@ -25,20 +27,28 @@ def ewm(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], span
 def ewma_reset(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], weight: float = 0.1, name: str = "ewma") -> DataFrame:
     """Plain exponential mean per key, in which an average of zero starts anew with the next value.
 
-    The recursion is not linear, so each key's values are folded in order, once, and exploded again;
-    a key's values have to fit a task.
+    The recursion is not linear, so a key's values are taken one after the other. Rows are sorted by key and order
+    inside partitions of whole keys (Spark spills that sort); what goes on from batch to batch is one key and its average,
+    so a key may be larger than memory.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
-    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("o"))
-
-    def step(acc, x):
-        now = F.when(acc.a == 0, x["__v"]).otherwise(acc.a * (1 - weight) + x["__v"] * weight)
-        return F.struct(now.alias("a"), F.concat(acc.o, F.array(now)).alias("o"))
-
-    grouped = df.groupBy(*by).agg(rows.alias("__r"))
-    folded = grouped.withColumn("__o", F.aggregate("__r", start, step, lambda acc: acc.o))
-    out = folded.select(*by, F.explode(F.arrays_zip("__r", "__o")).alias("z"))
-    return out.select(*by, *(F.col(f"z.__r.{c}").alias(c) for c in order), F.col("z.__r.__v").alias(value), F.col("z.__o").alias(name))
+    columns = [*by, *order, value]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*columns).dtypes) + f", `{name}` double"
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now = None, 0.0
+        for b in batches:
+            out = np.empty(len(b))
+            keys = zip(*(b[c] for c in by), strict=True) if by else iter([()] * len(b))
+            for i, (key, x) in enumerate(zip(keys, b[value].astype(float), strict=True)):
+                if key != last:
+                    last, now = key, 0.0
+                now = x if now == 0 else now * (1 - weight) + x * weight
+                out[i] = now
+            yield b.assign(**{name: out})
+
+    rows = df.select(*columns)
+    placed = (rows.repartition(*by) if by else rows.coalesce(1)).sortWithinPartitions(*by, *order)
+    return placed.mapInPandas(run, schema)
 
 
 def moving_min(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], n: int, name: str = "low") -> DataFrame:

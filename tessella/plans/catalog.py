@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -143,6 +144,12 @@ def partition_sizes(spark, d):
     return ag.range_sizes(rows, "o_totalprice", 0, 500000, 10)
 
 
+@query("SELECT count(*) AS n, min(o_orderkey) AS low FROM orders")
+def sizes_of_partitions(spark, d):
+    parts = ag.partition_sizes(table(spark, d, "orders").select("o_orderkey").repartition(5, "o_orderkey"), "o_orderkey")
+    return parts.agg(F.sum("n").cast("long").alias("n"), F.min("low").alias("low"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def response_counts(spark, d):
     return kv.bag(table(spark, d, "events"), "event_type")
@@ -258,7 +265,7 @@ def kv_get(spark, d):
 SELECT round(sum(a.value + b.value), 3) AS total, count(*) AS n FROM a JOIN b USING (p)""")
 def zip_sum(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "value")
-    z = vc.zipped(rk.with_pos(e, ["event_id"]), rk.with_pos(e, ["ts"]))
+    z = vc.zipped(rk.with_pos(e, ["event_id"]), rk.with_pos(e, ["ts"], ties=["event_id"]))
     return ag.reduce_all(z, F.round(F.sum(F.col("v0") + F.col("v1")), 3).alias("total"), F.count("*").alias("n"))
 
 
@@ -520,12 +527,12 @@ def graph_unfollow(spark, d):
 
 
 def _posts(spark, d):
-    return table(spark, d, "events").filter("user_id <= 97").select(
+    return table(spark, d, "events").select(
         F.col("event_id").alias("post_id"), "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.array(F.col("event_id") % 50 + 1).alias("mentions"), F.col("event_type").alias("text")
     )
 
 
-_HOME = _EDGES + """, posts AS (SELECT event_id AS post_id, user_id, (epoch_us(ts) // 1000) AS timestamp, event_id % 50 + 1 AS mention, event_type AS text FROM events WHERE user_id <= 97),
+_HOME = _EDGES + """, posts AS (SELECT event_id AS post_id, user_id, (epoch_us(ts) // 1000) AS timestamp, event_id % 50 + 1 AS mention, event_type AS text FROM events),
 home AS (SELECT src AS user_id, timestamp, post_id FROM posts JOIN edges ON dst = posts.user_id UNION SELECT mention, timestamp, post_id FROM posts)
 """
 
@@ -539,7 +546,7 @@ def home_timeline_fanout(spark, d):
 SELECT cut.user_id, cut.post_id, cut.timestamp, rank, text FROM cut JOIN posts ON cut.post_id = posts.post_id""")
 def read_home_timeline(spark, d):
     p = _posts(spark, d)
-    return so.read_timeline(so.fan_out(p, _edges(spark, d)), p.drop("mentions"), 0, 10)
+    return so.read_home_timeline(p, _edges(spark, d), 0, 10)
 
 
 @query(_HOME + """SELECT posts.user_id, posts.post_id, posts.timestamp, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, post_id DESC) - 1 AS rank, text FROM posts QUALIFY rank < 10""")
@@ -581,10 +588,20 @@ def kmeans_update(spark, d):
     return s.select("cluster", "n", F.posexplode("sums").alias("i", "x")).select("cluster", "i", F.round(F.col("x") / F.col("n"), 5).alias("mean"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT vec_id, [round(x::DOUBLE * 1000)::BIGINT for x in embedding] AS d FROM embeddings),
+s(n, m, done) AS (SELECT 0, (SELECT list(d ORDER BY vec_id) FROM p WHERE vec_id < 8), false
+UNION ALL SELECT n + 1, x.l, x.l = m FROM s, (
+  SELECT list(coalesce(u.mean, o.mean) ORDER BY o.c) AS l FROM (SELECT unnest(range(0, 8)) AS c, unnest(m) AS mean FROM s) o
+  LEFT JOIN (SELECT c, list(t ORDER BY i) AS mean FROM (SELECT c, i, (sum(v) // count(*))::BIGINT AS t FROM (
+    SELECT c, unnest(range(0, len(d))) AS i, unnest(d) AS v FROM (
+      SELECT vec_id, any_value(d) AS d, min(struct_pack(dist := list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(d, mean)]), c := c)).c AS c
+      FROM p, (SELECT unnest(range(0, 8)) AS c, unnest(m) AS mean FROM s) GROUP BY vec_id)) GROUP BY c, i) GROUP BY c) u USING (c)) x WHERE NOT done),
+f AS (SELECT unnest(range(0, 8)) AS c, unnest(m) AS mean FROM s WHERE done),
+a AS (SELECT vec_id, min(struct_pack(dist := list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(d, mean)]), c := c)).c AS c FROM p, f GROUP BY vec_id)
+SELECT c::INTEGER AS cluster, count(*) AS n FROM a GROUP BY 1""")
 def kmeans_fixed_point(spark, d):
-    scaled = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("long")).alias("d"))
-    means = [[int(round(x * 1000)) for x in m] for m in _first_means(spark, d)]
+    scaled = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("d"))
+    means = [[math.floor(abs(x) * 1000 + 0.5) * (1 if x >= 0 else -1) for x in m] for m in _first_means(spark, d)]
     final, _ = km.fit(scaled, means)
     return km.assign(scaled, final).groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -616,16 +633,5 @@ def random_families(spark, d):
     return out
 
 
-@query()
-def zipf_draws(spark, d):
-    return ge.zipf(spark, 10_000, 100, 1.1, seed=3).groupBy("value").agg(F.count("*").alias("n"))
-
-
-@query()
-def synthetic_posts(spark, d):
-    return ge.posts(spark, 1000, 100)
-
-
-@query()
-def sort_records(spark, d):
-    return rk.range_partitioned(ge.sort_input(spark, 10_000, seed=1), 8, "key")
+# registers further queries
+from tessella.plans import interface  # noqa: E402, F401

@@ -43,25 +43,38 @@ def symmetric_triangle(spark: SparkSession, n: int, start: float = 1.0, normaliz
     return spark.range(n).select(F.col("id").alias("pos"), (rise * F.lit(start / total)).alias("value"))
 
 
-def _open_unit(seed: int) -> Column:
-    return F.rand(seed) * (1 - 2e-16) + 1e-16
+def hashed(row: Column, *salt: str | int | Column) -> Column:
+    """48 random-looking bits that depend on a row's number and the salt alone: the first 12 digits of a digest."""
+    parts = [x if isinstance(x, Column) else F.lit(str(x)) for x in salt]
+    return F.conv(F.substring(F.md5(F.concat_ws("/", row.cast("string"), *(x.cast("string") for x in parts))), 1, 12), 16, 10).cast("long")
+
+
+def _unit(row: Column, *salt: str | int) -> Column:
+    """Even draws between 0 and 1, both left out, from a row's number."""
+    return (hashed(row, *salt) + 0.5) / float(1 << 48)
+
+
+def _bell(row: Column, *salt: str | int) -> Column:
+    """Standard normal draws by Box and Muller."""
+    return F.sqrt(-2 * F.log(_unit(row, *salt, "r"))) * F.cos(_unit(row, *salt, "t") * (2 * math.pi))
 
 
 def _by_inverse(kind: str, seed: int, p: dict) -> Column | None:
-    """Families whose inverse distribution function is a built-in expression."""
-    u = _open_unit(seed)
+    """Families whose inverse distribution function is a built-in expression; draws depend on id and seed alone."""
+    row = F.col("id")
+    u = _unit(row, kind, seed)
     a, b = p.get("a", 1.0), p.get("b", 1.0)
     mean, std = p.get("mean", 0.0), p.get("std", 1.0)
     made = {
         "uniform_real": lambda: F.lit(p.get("min_value", 0.0)) + u * (p.get("max_value", 1.0) - p.get("min_value", 0.0)),
-        "uniform_int": lambda: F.floor(F.lit(p.get("min_value", 0)) + F.rand(seed) * (p.get("max_value", 1) - p.get("min_value", 0) + 1)).cast("double"),
-        "bernoulli": lambda: (F.rand(seed) < p.get("p", 0.5)).cast("double"),
+        "uniform_int": lambda: F.floor(F.lit(p.get("min_value", 0)) + u * (p.get("max_value", 1) - p.get("min_value", 0) + 1)).cast("double"),
+        "bernoulli": lambda: (u < p.get("p", 0.5)).cast("double"),
         "geometric": lambda: F.floor(F.log(u) / math.log1p(-p.get("p", 0.5))).cast("double"),
         "exponential": lambda: -F.log(u) / p.get("lambda", 1.0),
         "weibull": lambda: F.pow(-F.log(u), 1.0 / a) * b,
         "extreme_value": lambda: F.lit(a) - F.lit(b) * F.log(-F.log(u)),
-        "normal": lambda: F.randn(seed) * std + mean,
-        "lognormal": lambda: F.exp(F.randn(seed) * std + mean),
+        "normal": lambda: _bell(row, kind, seed) * std + mean,
+        "lognormal": lambda: F.exp(_bell(row, kind, seed) * std + mean),
         "cauchy": lambda: F.lit(a) + F.lit(b) * F.tan((u - 0.5) * math.pi),
     }
     return made[kind]() if kind in made else None
@@ -112,15 +125,16 @@ def zipf(spark: SparkSession, n: int, num: int, q: float, seed: int = 0) -> Data
         for batch in batches:
             yield pd.DataFrame({"pos": batch["pos"], "value": np.minimum(np.searchsorted(cdf, batch["u"], side="right"), num - 1)})
 
-    return spark.range(n).select(F.col("id").alias("pos"), F.rand(seed).alias("u")).mapInPandas(look, "pos long, value long")
+    return spark.range(n).select(F.col("id").alias("pos"), _unit(F.col("id"), "zipf", seed).alias("u")).mapInPandas(look, "pos long, value long")
 
 
 def sort_input(spark: SparkSession, n: int, kind: str = "uniform", seed: int = 0) -> DataFrame:
     """Sort records: an unsigned 64-bit key as DECIMAL(20,0), uniform or normal, and a value of 90 equal bytes."""
     if kind == "normal":
-        key = F.greatest(F.lit(0.0), F.randn(seed) * (n / 10) + n / 2).cast("decimal(20,0)")
+        key = F.greatest(F.lit(0.0), _bell(F.col("id"), "key", seed) * (n / 10) + n / 2).cast("decimal(20,0)")
     else:
-        key = F.floor(F.rand(seed) * 18446744073709549568.0).cast("decimal(20,0)")
+        digest = F.md5(F.concat_ws("/", F.col("id").cast("string"), F.lit("key"), F.lit(str(seed))))
+        key = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
     return spark.range(n).select(key.alias("key"), F.encode(F.repeat(F.chr(F.pmod("id", F.lit(26)) + 97), 90), "UTF-8").alias("value"))
 
 
@@ -138,25 +152,21 @@ def users(spark: SparkSession, n: int) -> DataFrame:
 
 
 def posts(spark: SparkSession, n: int, n_users: int, seed: int = 0) -> DataFrame:
-    """Synthetic posts: text with up to two mentions and two links, up to two media ids."""
-
-    def few(salt: int) -> Column:
-        return F.sequence(F.lit(1), F.floor(F.rand(seed + salt) * 3).cast("int") + 1)
-
-    base = spark.range(n).select(
-        F.col("id").alias("post_id"),
-        (F.floor(F.rand(seed) * n_users) + 1).cast("long").alias("user_id"),
-        F.slice(few(1), 2, 2).alias("m"),
-        F.slice(few(2), 2, 2).alias("u"),
-        F.slice(few(3), 2, 2).alias("d"),
-    )
-    pick = lambda i, salt: F.pmod(F.xxhash64(F.col("post_id"), i, F.lit(seed + salt)), F.lit(n_users)) + 1
-    mentions = F.transform("m", lambda i: F.concat(F.lit("@username_"), pick(i, 11).cast("string")))
-    urls = F.transform("u", lambda i: F.concat(F.lit("http://"), F.hex(F.xxhash64(F.col("post_id"), i, F.lit(seed))), F.lit(".example")))
-    return base.select(
-        "post_id",
-        "user_id",
-        F.concat_ws(" ", F.sha2(F.concat(F.col("post_id").cast("string"), F.lit(str(seed))), 256), F.array_join(mentions, " "), F.array_join(urls, " ")).alias("text"),
-        F.transform("d", lambda i: F.struct(F.abs(F.xxhash64(F.col("post_id"), i)).alias("media_id"), F.lit("png").alias("media_type"))).alias("media"),
-        (F.lit(1_600_000_000_000) + F.col("post_id")).alias("timestamp"),
+    """Synthetic posts: text with up to two mentions and two links, up to two media ids. Everything follows from the
+    post's number and the seed."""
+    row = F.col("id")
+
+    def few(what: str, f) -> Column:
+        count = F.pmod(hashed(row, what, seed), F.lit(3)).cast("int")
+        return F.transform(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), count), f)
+
+    mentions = few("mentions", lambda i: F.concat(F.lit("@username_"), (F.pmod(hashed(row, "mention", i, seed), F.lit(n_users)) + 1).cast("string")))
+    urls = few("urls", lambda i: F.concat(F.lit("http://"), F.lower(F.hex(hashed(row, "url", i, seed))), F.lit(".example")))
+    media = few("media", lambda i: F.struct(hashed(row, "media", i, seed).alias("media_id"), F.lit("png").alias("media_type")))
+    return spark.range(n).select(
+        row.alias("post_id"),
+        (F.pmod(hashed(row, "user", seed), F.lit(n_users)) + 1).alias("user_id"),
+        F.concat_ws(" ", F.sha2(F.concat(row.cast("string"), F.lit(str(seed))), 256), F.array_join(mentions, " "), F.array_join(urls, " ")).alias("text"),
+        media.alias("media"),
+        (F.lit(1_600_000_000_000) + row).alias("timestamp"),
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tessella.session import checkpoints
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one Parquet table; filters and column lists are pushed to it by the optimizer."""
@@ -66,3 +69,9 @@ def blobs(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
 def local_iter(df: DataFrame, keys: Sequence[str]) -> Iterable:
     """Ordered iteration that holds one partition at a time on the driver."""
     return df.orderBy(*keys).toLocalIterator()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a job writes and reads again, in the shared checkpoint folder."""
+    checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

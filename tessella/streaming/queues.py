@@ -24,6 +24,12 @@ def drain_to(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregation until all that is there is consumed; the folder holds the result after the last batch."""
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def consume(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Hands every micro-batch to a consumer."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -160,3 +160,66 @@ def test_kmeans_runs_until_settled(monkeypatch):
     monkeypatch.setattr(km, "update", lambda a, means, vector: [[means[0][0] + 1]])
     with pytest.raises(RuntimeError):
         km.fit(None, [[0]], max_rounds=5)
+
+
+def test_positions_of_common_prefixes_and_dominant_keys(spark):
+    """Long common prefixes and one key with most of the rows: positions are whole, and no range holds most rows."""
+    rows = spark.range(20_000).select(F.concat(F.lit("Customer#0000"), F.when(F.col("id") % 3 != 0, F.lit("1")).otherwise(F.col("id").cast("string"))).alias("name"), "id")
+    got = rk.with_pos(rows, ["name"]).collect()
+    assert [r.pos for r in sorted(got, key=lambda r: r.pos)] == list(range(20_000))
+    names = [r.name for r in sorted(got, key=lambda r: r.pos)]
+    assert names == sorted(names)
+    down = rk.with_pos(rows, ["name", "id"], descending=True).orderBy("pos").limit(3).collect()
+    assert [(r.name, r.id) for r in down] == sorted(((r.name, r.id) for r in got), reverse=True)[:3]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would else be one range
+    sizes = rk.with_pos(rows, ["name"]).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in sizes) < 10_000
+
+
+def test_nth_values_against_sorting(spark):
+    rng = np.random.default_rng(2)
+    values = [None] * 7 + rng.normal(size=30_000).round(3).tolist() + [0.5] * 30_000
+    df = spark.createDataFrame([(x,) for x in values], "v double").repartition(4)
+    ordered = [None] * 7 + sorted(x for x in values if x is not None)
+    for n in (0, 6, 7, 1000, 20_000, 45_000, len(values) - 1):
+        (value, below), = rk.nth_values(df, "v", [n], few=500)
+        assert value == ordered[n] and below == ordered.index(value), n
+    assert rk.nth_values(df, "v", [len(values)]) == [] and rk.nth_values(df.limit(0), "v", [0]) == []
+    assert rk.nth_values(spark.createDataFrame([("b",), ("a",), ("c",)], "v string"), "v", [1]) == [("b", 1)]
+    p = ag.percentiles(df, "v", [0.25, 0.5, 0.999]).first()
+    assert np.allclose(list(p), np.percentile(ordered[7:], [25, 50, 99.9]))
+    assert list(ag.percentiles(df.limit(0), "v", [0.5]).first()) == [None]
+
+
+def test_home_timelines_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    posts = [(i, int(rng.integers(0, 6)), int(rng.integers(0, 40)), rng.integers(0, 9, 2).tolist(), "t") for i in range(300)]
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 9, (20, 2))})
+    p, e = spark.createDataFrame(posts, "post_id long, user_id long, timestamp long, mentions array<long>, text string"), spark.createDataFrame(edges, "src long, dst long")
+    want = {(u, t, i) for i, a, t, ms, _ in posts for u in [s for s, d in edges if d == a] + ms}
+    assert sorted(tuple(r) for r in so.fan_out(p, e).collect()) == sorted(want)
+    for start, stop in ((0, 4), (2, 9), (5, 5)):
+        cut = {(u, t, i) for u in range(9) for _, t, i in sorted((x for x in want if x[0] == u), key=lambda x: (-x[1], -x[2]))[start:stop]}
+        assert {(r.user_id, r.timestamp, r.post_id) for r in so.read_home_timeline(p, e, start, stop).collect()} == cut
+    assert so.read_home_timeline(p.limit(0), e, 0, 4).count() == 0
+
+
+def test_ewma_of_a_long_key_and_none(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("x"))
+    got = [r.ewma for r in wi.ewma_reset(df, "x", ["g"], ["i"]).orderBy("i").collect()]
+    now, want = 0.0, []
+    for i in range(30_000):
+        now = i % 7 if now == 0 else now * 0.9 + (i % 7) * 0.1
+        want.append(now)
+    assert np.allclose(got, want) and wi.ewma_reset(df.limit(0), "x", ["g"], ["i"]).count() == 0
+
+
+def test_kmeans_of_wide_and_null_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-1000, 1000, 50).tolist()) for i in range(500)] + [(500, None)]
+    means = [rows[k][1] for k in range(20)]
+    got = dict(km.assign(spark.createDataFrame(rows, "id long, d array<long>"), means).select("id", "cluster").collect())
+    x, m = np.array([r[1] for r in rows[:500]], float), np.array(means, float)
+    assert got.pop(500) is None and list(got[i] for i in range(500)) == np.square(x[:, None] - m[None]).sum(axis=2).argmin(axis=1).tolist()
+    assert km.update(km.assign(spark.createDataFrame([(1, None)], "id long, d array<long>"), [[1, 2]]), [[1, 2]]) == [[1, 2]]
