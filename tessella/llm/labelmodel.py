@@ -10,70 +10,79 @@ import numpy as np
 
 
 class LabelModel:
-    """Voters with values 0..k-1 given a hidden label 0 or 1, fitted by expectation maximisation.
+    """Voters with values 0..k-1 given a hidden label, fitted by expectation maximisation.
 
-    Voters are first taken as independent given the label. Then the correlations that the posterior leaves
-    between voters are estimated, and voters that repeat each other share their weight.
+    The last label is the one asked for; there may be several others, such as the kinds of what it is not, since voters
+    that see one kind only are far from independent given "any kind". Voters are first taken as independent given the
+    label. Then the correlations that the posterior leaves between voters are estimated, and voters that repeat each
+    other share their weight. A value may stand for no vote (`abstain`): it tells nothing of the label, and
+    accuracies are those of the votes given.
     """
 
-    def __init__(self, values: int = 3, rounds: int = 60, outer: int = 3):
-        self.values, self.rounds, self.outer = values, rounds, outer
-
-    def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, gold: np.ndarray | None = None, belief: np.ndarray | None = None, share: float = 0.5, believed: float = 0.0) -> LabelModel:
-        """votes (patterns, voters), counts (patterns), start: a first guess of P(label 1) per pattern.
-        gold: known labels per pattern, nan where unknown. belief: rows as (label, voter, value) that count as
-        seen beforehand, in shares of all rows; it keeps label 0 from shrinking to one kind of it. share of label 1
-        is believed beforehand with the weight `believed`, in shares of all rows."""
-        n, m = votes.shape
-        gold = np.full(n, np.nan) if gold is None else gold
-        known = ~np.isnan(gold)
-        self.weight = np.ones(m)
-        self.correlation = np.eye(m)
+    def __init__(self, values: int = 3, rounds: int = 60, outer: int = 3, abstain: int | None = None):
+        self.values, self.rounds, self.outer, self.abstain = values, rounds, outer, abstain
+
+    def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray) -> LabelModel:
+        """votes (patterns, voters), counts (patterns), start: a first guess of P(last label) per pattern, or of all
+        labels (patterns, labels), which says which label is which."""
+        self.weight = np.ones(votes.shape[1])
+        self.correlation = np.eye(votes.shape[1])
         hot = (votes[:, :, None] == np.arange(self.values)).astype(float)
-        post = np.clip(start.astype(float), 0.01, 0.99)
-        self._learn(counts, hot, post, belief, share, believed)
+        post = np.clip(start if start.ndim == 2 else np.stack([1 - start, start], axis=1), 0.001, 0.999)
+        self._learn(counts, hot, post / post.sum(axis=1, keepdims=True))
         for _ in range(self.outer):
             # shared weights come first: else voters that repeat each other could become the label themselves
             self._share(votes, counts, post)
             for _ in range(self.rounds):
-                post[known] = gold[known]
-                self._learn(counts, hot, post, belief, share, believed)
-                new = self.posterior(votes)
-                new[known] = gold[known]
+                self._learn(counts, hot, post)
+                new = self.labels(votes)
                 moved = float(np.abs(new - post).max(initial=0))
                 post = new
                 if moved < 1e-6:
                     break
         return self
 
-    def _learn(self, counts: np.ndarray, hot: np.ndarray, post: np.ndarray, belief: np.ndarray | None, share: float, believed: float) -> None:
-        mass = np.stack([counts * (1 - post), counts * post])
-        self.prior = float((mass[1].sum() + 1 + share * counts.sum() * believed) / (mass.sum() + 2 + believed * counts.sum()))
-        table = np.einsum("yn,nmv->ymv", mass, hot) + 0.5 + (0 if belief is None else belief * counts.sum())
-        self.log = np.log(table / table.sum(axis=2, keepdims=True))
+    def _learn(self, counts: np.ndarray, hot: np.ndarray, post: np.ndarray) -> None:
+        mass = (counts[:, None] * post).T
+        self.priors = (mass.sum(axis=1) + 1) / (mass.sum() + len(mass))
+        table = np.einsum("yn,nmv->ymv", mass, hot) + 0.5
+        if self.abstain is not None:
+            table[:, :, self.abstain] = 0
+        self.chance = table / table.sum(axis=2, keepdims=True)
+        self.log = np.log(self.chance, where=self.chance > 0, out=np.zeros_like(self.chance))  # 0 for no vote
+        self.others = np.einsum("y,ymv->mv", self.priors[:-1] / self.priors[:-1].sum(), self.chance[:-1])
+        self.odds = self.log[-1] - np.log(self.others, where=self.others > 0, out=np.zeros_like(self.others))
 
     def _share(self, votes: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        odds = self.log[1] - self.log[0]
-        told = np.take_along_axis(odds[None], votes[:, :, None], axis=2)[:, :, 0]  # log-odds each vote stands for
-        chance = np.exp(self.log)
-        mean = (chance * odds[None]).sum(axis=2)
-        rest = told - (post[:, None] * mean[1] + (1 - post[:, None]) * mean[0])
+        told = np.take_along_axis(self.odds[None], votes[:, :, None], axis=2)[:, :, 0]  # log-odds each vote stands for
+        rest = told - post @ (self.chance * self.odds[None]).sum(axis=2)
+        if self.abstain is not None:
+            rest[votes == self.abstain] = 0
         cov = (rest * counts[:, None]).T @ rest / max(1.0, counts.sum())
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         self.correlation = cov / scale[:, None] / scale[None]
         extra = np.where(self.correlation > 0.1, self.correlation, 0.0).sum(axis=1) - 1
         self.weight = 1 / (1 + np.maximum(extra, 0))
 
+    @property
+    def prior(self) -> float:
+        """P(last label)."""
+        return float(self.priors[-1])
+
+    def labels(self, votes: np.ndarray) -> np.ndarray:
+        """P(label) per pattern, for all labels."""
+        z = np.log(self.priors) + np.stack([(np.take_along_axis(x[None], votes[:, :, None], axis=2)[:, :, 0] * self.weight).sum(axis=1) for x in self.log], axis=1)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(label 1) per pattern."""
-        odds = self.log[1] - self.log[0]
-        z = np.log(self.prior / (1 - self.prior)) + (np.take_along_axis(odds[None], votes[:, :, None], axis=2)[:, :, 0] * self.weight).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        """P(last label) per pattern."""
+        return self.labels(votes)[:, -1]
 
     def accuracies(self) -> np.ndarray:
-        """Per voter, how often its vote points to the label that is there (no pointer counts as half)."""
-        p, odds = np.exp(self.log), self.log[1] - self.log[0]
-        right1, right0 = (p[1] * (odds > 0)).sum(axis=1) + 0.5 * (p[1] * (odds == 0)).sum(axis=1), (p[0] * (odds < 0)).sum(axis=1) + 0.5 * (p[0] * (odds == 0)).sum(axis=1)
+        """Per voter, how often its vote points to the label that is there or away from it (no pointer counts as half)."""
+        p, q, odds = self.chance[-1], self.others, self.odds
+        right1, right0 = (p * (odds > 0)).sum(axis=1) + 0.5 * (p * (odds == 0)).sum(axis=1), (q * (odds < 0)).sum(axis=1) + 0.5 * (q * (odds == 0)).sum(axis=1)
         return self.prior * right1 + (1 - self.prior) * right0
 
 

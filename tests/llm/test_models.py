@@ -106,6 +106,39 @@ def test_label_model_recovers_accuracies():
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.85
 
 
+def test_label_model_against_brute_force():
+    """Row by row, in plain Python: expectation maximisation of voters that may abstain, weights by correlation left out."""
+    rng = np.random.default_rng(8)
+    y = rng.random(4000) < 0.7
+    right, gives = np.array([0.95, 0.9, 0.8, 0.7]), np.array([0.9, 0.6, 0.9, 0.5])
+    votes = np.where(rng.random((4000, 4)) < right, y[:, None], ~y[:, None]) * 2
+    votes = np.where(rng.random((4000, 4)) < gives, votes, 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    start = np.where((patterns == 0).sum(axis=1) > 0, 0.1, 0.9)
+    m = LabelModel(3, rounds=30, outer=1, abstain=1)
+    m._share = lambda *_: None
+    m.fit(patterns, counts.astype(float), start)
+    post = {tuple(p): s for p, s in zip(patterns.tolist(), start, strict=True)}
+    for _ in range(31):
+        chance = np.zeros((2, 4, 3))
+        total = [0.0, 0.0]
+        for v in votes.tolist():
+            p = post[tuple(v)]
+            for label, w in ((0, 1 - p), (1, p)):
+                total[label] += w
+                for i, x in enumerate(v):
+                    if x != 1:
+                        chance[label, i, x] += w
+        chance[:, :, [0, 2]] += 0.5
+        chance /= chance.sum(axis=2, keepdims=True)
+        prior = (total[1] + 1) / (sum(total) + 2)
+        for v in post:
+            z = np.log(prior / (1 - prior)) + sum(np.log(chance[1, i, x] / chance[0, i, x]) for i, x in enumerate(v) if x != 1)
+            post[v] = 1 / (1 + np.exp(-z))
+    assert np.allclose(m.posterior(patterns), list(post.values()), atol=0.02)
+    assert np.allclose(m.chance[1, :, 2], right, atol=0.06) and abs(m.prior - 0.7) < 0.03
+
+
 def test_linear_fit():
     rows = [np.array([i % 2]) for i in range(100)]
     w, b = fit_linear(rows, [np.ones(1)] * 100, np.array([float(i % 2) for i in range(100)]), 2)
