@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.labelmodel import LabelModel, fit_linear
 
-# A seed lexicon of insults.
-INSULTS = "idiot moron loser stupid pathetic worthless trash scum clown disgusting".split()
-#: Lexicon voters by kind of term (whole words; prefixes of 4, 5, 6 letters), and pattern voters.
+# Lexicons of insults by what they attack.
+INSULTS = {
+    "persons": "idiot moron loser fool imbecile dunce".split(),
+    "minds": "stupid dumb brainless clueless braindead".split(),
+    "worth": "pathetic worthless disgusting useless repulsive".split(),
+    "things": "trash scum clown filth garbage vermin".split(),
+}
+#: Voters of learnt lexicons by kind of term (whole words; prefixes of 4, 5, 6 letters), and pattern voters.
 GROUPS = {"w": 4, "4": 2, "5": 2, "6": 2}
-PATTERNS = ("insults", "leet", "shouting", "marks")
-#: The voters' terms and the classifier are learnt from about LABELLED labelled rows, chosen by hash; the bound is on the
-#: fit alone. TERMS is the number of terms the lexicons may hold, FEATURES that of the classifier.
-LABELLED, TERMS, FEATURES = 20_000, 600, 3000
+PATTERNS = ("leet", "shouting", "marks")
+#: The learnt lexicons' terms and the classifier's features come from about LABELLED labelled rows, chosen by hash; the
+#: bound is on the fit alone. A lexicon takes the terms whose log-odds are this high, and this many standard errors.
+LABELLED, ODDS, ERRORS, SEEN = 20_000, 2.0, 2.5, 4
 _LEET = re.compile(r"\w*[a-z][013457@$]+[a-z]\w*")
 MARKS = ".,;:!?\"'()[]|*%&#$"
 
@@ -55,7 +60,8 @@ class Voters(dict):
         at = {name: i for i, name in enumerate(self.names)}
         self.voter = {t: at[f"{t[0]}{zlib.crc32(t.encode()) % GROUPS[t[0]]}"] for t in terms}
         self.first = len(self.names)
-        self.names += PATTERNS
+        self.names += [*INSULTS, *PATTERNS]
+        self.insults = {w: 1 << (self.first + i) for i, words in enumerate(INSULTS.values()) for w in words}
         self.features, self.kept = features or {}, kept
 
     def __reduce__(self):
@@ -66,7 +72,7 @@ class Voters(dict):
             self.clear()
         word = token.strip(MARKS)
         terms = terms_of(word) if word else []
-        bits = sum({1 << self.voter[t] for t in terms if t in self.voter}) | ((word in INSULTS) << self.first)
+        bits = sum({1 << self.voter[t] for t in terms if t in self.voter}) | self.insults.get(word, 0)
         hits = tuple(self.features[t] for t in terms if t in self.features)
         leet = bool(_LEET.fullmatch(word))
         meaning = self[token] = (bits, leet, hits) if bits or leet or hits else None
@@ -82,7 +88,7 @@ class Voters(dict):
             hits.update(meaning[2])
         patterns = obfuscated > 2, sum(map(str.isupper, parts)) > 0.2 * len(parts), text.count("!") > 0.1 * len(parts)
         for k, hit in enumerate(patterns):
-            bits |= hit << (self.first + 1 + k)
+            bits |= hit << (self.first + len(INSULTS) + k)
         return bits, sorted(hits)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -123,8 +129,16 @@ def _count_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "term string, pos double, neg double").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _odds(p: float, n: float) -> tuple[Column, Column]:
+    """Log-odds of a term for label 1, of which there are p among n rows, and their standard error."""
+    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
+    return F.log(a / (p + 1)) - F.log(b / (n - p + 1)), F.sqrt(1 / a + 1 / b)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", labelled: int = LABELLED) -> ToxicityModel | None:
-    """Learns from labelled rows that aren't held out, and from the vote patterns of all documents.
+    """Learns lexicons from labelled rows that aren't held out, and how far to trust all voters from the vote patterns of
+    all documents. Labels choose the terms of the learnt lexicons (insults of most languages are in no list) and start the
+    search; accuracies and correlations are estimated from the votes alone, and the classifier learns the posteriors.
 
     None without a labelled row of each kind.
     """
@@ -139,23 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         return None
     rate = sums["p"] / sums["n"]
 
-    odds = F.log((F.col("pos") + 0.5) / (sums["p"] + 1)) - F.log((F.col("neg") + 0.5) / (sums["n"] - sums["p"] + 1))
-    counted = _count_terms(sample)
-    best = counted.filter(F.col("pos") >= 4).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(TERMS).collect()
-    voters = Voters(r["term"] for r in best)
+    odds, errors = _odds(sums["p"], sums["n"])
+    best = _count_terms(sample).filter((F.col("pos") >= SEEN) & (odds > ODDS) & (odds > ERRORS * errors)).select("term").collect()  # bounded by the sample
+    voters = Voters(sorted(r["term"] for r in best))
 
     def patterns(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"code": [voters.read(t or "")[0] for t in b["__t"]], "y": b["y"] if "y" in b else None})
+            yield pd.DataFrame({"code": [voters.read(t or "")[0] for t in b["__t"]]})
 
-    # vote patterns of all documents (2^14 at most), and those of the sample with their labels
-    free = docs.select(F.col(text).alias("__t"), F.lit(None).cast("double").alias("y")).mapInPandas(patterns, "code long, y double")
-    told = sample.select(F.col("text").alias("__t"), "y").mapInPandas(patterns, "code long, y double")
-    rows = free.unionByName(told).groupBy("code", "y").count().collect()
+    # vote patterns of all documents (2^17 at most); the label model sees votes alone, no label
+    rows = docs.select(F.col(text).alias("__t")).mapInPandas(patterns, "code long").groupBy("code").count().collect()
     votes = voters.decode(np.array([r["code"] for r in rows], np.int64))
-    gold = np.array([np.nan if r["y"] is None else r["y"] for r in rows])
     counts = np.array([r["count"] for r in rows], float)
-    model = LabelModel(2).fit(votes, counts, np.where(votes.sum(axis=1) > 0, 0.9, rate / 2), gold)
+    model = LabelModel(2).fit(votes, counts, np.where(votes.sum(axis=1) > 1, 0.9, rate / 2))
 
     def soft(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,9 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     softened = sample.select("text").mapInPandas(soft, "text string, y double").checkpoint()
     mass = softened.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
-    odds = F.log((F.col("pos") + 0.5) / (mass["p"] + 1)) - F.log((F.col("neg") + 0.5) / (mass["n"] - mass["p"] + 1))
-    wanted = _count_terms(softened).filter("pos + neg >= 4").withColumn("odds", odds).filter("abs(odds) > 1").orderBy(F.desc(F.abs("odds") * F.sqrt("pos")), "term").limit(FEATURES).collect()
-    features = {r["term"]: i for i, r in enumerate(wanted)}
+    odds, errors = _odds(mass["p"], mass["n"])
+    wanted = _count_terms(softened).filter((F.col("pos") + F.col("neg") >= SEEN) & (F.abs(odds) > 1) & (F.abs(odds) > ERRORS * errors)).select("term").collect()
+    features = {t: i for i, t in enumerate(sorted(r["term"] for r in wanted))}
     voters = Voters(voters.voter, features)
 
     def sparse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
