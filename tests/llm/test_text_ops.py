@@ -147,6 +147,21 @@ def test_genetic_packing(spark, odd, empty, hf):
     assert packing.pack_documents(empty, PATH).count() == 0
 
 
+def test_last_round_joins_loose_sequences_of_blocks(spark):
+    """Many small blocks: each leaves a loose sequence, and the last round packs them together."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 600, 900).tolist()
+    rows = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    got = packing.pack_genetic(rows, 2048, block=40).toPandas()
+    fill = got.groupby("sequence_id").length.sum()
+    assert len(got) == 900 and fill.max() <= 2048 and sorted(got.length) == sorted(lengths)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+    apart = packing.pack_genetic(rows, 2048, block=40, loose=0.0).toPandas()
+    bound = -(-sum(lengths) // 2048)
+    assert bound <= len(fill) < apart.sequence_id.nunique() and len(fill) <= bound + 3
+
+
 def test_islands_improve_or_keep():
     rng = np.random.default_rng(3)
     lengths = rng.integers(300, 1100, 300).tolist()
@@ -219,6 +234,50 @@ def test_secrets_base_and_battery(spark, empty):
     assert secrets.find_secrets(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("length", "least"), [(22, {"base64": 0.9, "hex": 0.9, "base36": 0.5}), (28, {"base64": 0.9, "hex": 0.9, "base36": 0.75}), (40, {"base64": 0.9, "hex": 0.9, "base36": 0.9})])
+def test_keys_among_identifiers_and_paths(spark, length, least):
+    """Recall of keys in each encoding, and false discoveries, among identifiers and paths of ordinary words. Short keys of
+    36 symbols are the hardest: words with digits between them often look as even."""
+    rng = random.Random(length)
+    words = "the and house river walking stones between garden window system handler request value buffer string parse update manager session account number column query message stream worker cache graph folder image layer".split()
+    symbols = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF"}
+    plain = lambda: [rng.choice(words) for _ in range(120)]
+    rows, keys = [], {}
+    for kind, chars in symbols.items():
+        for _ in range(60):
+            t, key = plain(), "".join(rng.choice(chars) for _ in range(length))
+            t.insert(rng.randrange(len(t)), key)
+            keys[len(rows)] = (kind, key)
+            rows.append((len(rows), " ".join(t)))
+    for k in range(300):
+        t = plain()
+        name = "".join([rng.choice(words)] + [rng.choice(words).title() for _ in range(rng.randrange(3, 7))]) + (str(rng.randrange(100)) if k % 3 else "")
+        t.insert(rng.randrange(len(t)), "/".join([*(rng.choice(words) for _ in range(5)), "v2", rng.choice(words).title()]) if k % 2 else name)
+        rows.append((len(rows), " ".join(t)))
+    found = {r.doc_id: [(int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "random"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    hit = {kind: sum(any(rows[i][1][a:b] == key for a, b in found[i]) for i, (k, key) in keys.items() if k == kind) / 60 for kind in symbols}
+    false = sum(len(v) for i, v in found.items() if i not in keys)
+    print(length, hit, false)
+    assert all(hit[k] >= x for k, x in least.items()), hit
+    assert false <= 0.1 * sum(map(len, found.values()))
+
+
+def test_secrets_of_odd_rows(spark):
+    """Null and repeated ids, clashing columns, a very long text: every row has its own spans; spans and redaction agree."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48))
+    plain = " ".join(rng.choice(["the", "and", "house", "river", "walking", "stones"]) for _ in range(300))
+    long = " ".join(f"{plain} {key()}" for _ in range(200))
+    rows = [(None, f"{plain} {key()}", 1), (5, f"{plain} token=abcdef1", 2), (5, f"{plain} none", 3), (None, None, 4), (6, long, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int").selectExpr("*", "spans AS base", "spans AS __t")
+    found = secrets.find_secrets(df).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.n_random) for r in found) == [(0, 0, 0), (0, 0, 1), (5, 0, 0), (5, 1, 0), (6, 0, 200)]
+    least = secrets.thresholds(secrets.scan(df, "text", "doc_id"))
+    assert sorted(r.spans for r in found) == sorted(secrets._spans(t or "", least) for _, t, _ in rows)
+    clean = secrets.redact_secrets(df)
+    assert clean.columns == df.columns and [r.text for r in clean.filter("doc_id = 6").collect()][0].count("[random]") == 200
+
+
 def empty_docs(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
