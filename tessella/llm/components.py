@@ -11,6 +11,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Each round lets a node hand the least node it sees to its larger neighbours, then to its smaller ones
     (large-star and small-star), until nothing changes; long chains shorten by a factor per round. Every
     step is a grouping that combines before its shuffle and a join on the node. Rounds are cut by checkpoints.
+    Rounds grow with the logarithm of the longest chain; if `max_rounds`, a safety bound, is met, it raises.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct().checkpoint()
     mark = _mark(now)

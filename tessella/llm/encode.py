@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 from tessella.llm.memo import lease
-from tessella.llm.tokens import BLOCK, block_words, pieces
+from tessella.llm.tokens import BLOCK, LONG, block_words, pieces
 
 #: Words kept per Python worker.
 KEPT = 900_000
@@ -55,6 +55,8 @@ class Encoder:
         at = first.tolist()
         for (i, _), a, b in zip(block, at, at[1:], strict=False):
             out[i].append(b"".join(map(memo.__getitem__, words[a:b])))
+        for w in [w for w in new if len(w) > LONG]:
+            del memo[w]
 
     def _learn(self, new: set[str]) -> None:
         """Encodes words. Those of a space and something else stay words when they are put one behind the

@@ -38,6 +38,8 @@ N_STATES, N_CLASSES = 13, 12
 _LETTERS = {LETTER, C_STMD, C_R, C_V, C_L, C_E}
 #: Characters per chunk; characters handled at once; words and states kept per Python worker.
 CHUNK, BLOCK, KEPT_WORDS, KEPT_STATES = 512, 1 << 20, 400_000, 300_000
+#: Longer words are not kept.
+LONG = 256
 
 
 def _open(c: int) -> int:
@@ -262,9 +264,11 @@ class _Memo(dict):
         self.transducer, self.kept = transducer, kept
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.kept:
-            self.clear()
-        n = self[word] = self.transducer.count(word.encode())
+        n = self.transducer.count(word.encode())
+        if len(word) <= LONG:
+            if len(self) >= self.kept:
+                self.clear()
+            self[word] = n
         return n
 
 

@@ -186,6 +186,16 @@ def test_toxicity_edge_tables(spark):
     assert toxicity.classify_toxicity(odd.limit(0), lab.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """A text of a million characters, with and without spaces, in the operators that score or link."""
+    words, one = "river stone " * 90_000, "x" * 1_000_000
+    df = spark.createDataFrame([(1, words, 1), (2, words, 2), (3, one, 3), (4, one + "y", 4)], "doc_id long, text string, kept int")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert not any(r.kept for r in quality.classify_quality(df).collect())
+    lab = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, toxic int")
+    assert len(toxicity.classify_toxicity(df, lab).collect()) == 4
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, kept = docs.columns, {}

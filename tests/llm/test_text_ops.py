@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import chat, decontam, encode, packing, queries, secrets, shingles, tiff, tokens
@@ -183,6 +185,29 @@ def test_tiff_round_trip(scheme, tile, order):
         assert len(back) == 4 and all((a == b).all() for a, b in zip(pages, back, strict=True))
 
 
+def test_decoders_against_published_examples():
+    """Byte strings from the formats' own descriptions, and a file put together here, field by field."""
+    packed, plain = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.unpack_bits(packed, len(plain)) == plain
+    bits = "".join(f"{code:09b}" for code in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    coded = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.unpack_lzw(coded) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        # 3 x 2 grey pixels, horizontal differences, two strips of a row, PackBits: 10 20 30 and 5 5 5
+        strips = [bytes([2, 10, 10, 10]), bytes([0, 5, 255, 0])]
+        fields = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, 8), (259, 3, 1, 32773), (262, 3, 1, 1), (273, 4, 2, 0), (277, 3, 1, 1), (278, 3, 1, 1), (279, 4, 2, 0), (317, 3, 1, 2)]
+        ifd = 8 + 8
+        after = ifd + 2 + 12 * len(fields) + 4
+        body = mark + struct.pack(order + "I", ifd) + strips[0] + strips[1] + struct.pack(order + "H", len(fields))
+        for tag, kind, count, value in fields:
+            field = struct.pack(order + "HHI", tag, kind, count)
+            place = {273: after, 279: after + 8}.get(tag)
+            body += field + (struct.pack(order + "I", place) if place else struct.pack(order + ("H" if kind == 3 else "I"), value).ljust(4, b"\0"))
+        body += struct.pack(order + "I", 0) + struct.pack(order + "4I", 8, 12, 4, 4)
+        pages = tiff.directories(body)
+        assert len(pages) == 1 and tiff.decode_page(body, pages[0]).reshape(2, 3).tolist() == [[10, 20, 30], [5, 5, 5]]
+
+
 def test_tiff_pages_and_broken_media(spark):
     good = tiff.encode([np.arange(100, dtype=np.uint8).reshape(10, 10, 1)] * 2)
     loop = bytearray(b"II*\0\x08\0\0\0" + b"\0\0" + b"\x08\0\0\0")
@@ -308,6 +333,23 @@ def test_chat_parts(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_odd_rows(spark):
+    """Extra columns are left out; repeated turns all stay, in one order; one long conversation among null ids."""
+    rows = [(1, 0, "user", "b", 1), (1, 0, "user", "a", 2), (1, 0, "user", "a", 2), (2, 5, "assistant", "x" * 200_000 + "<>", 3), (None, 0, "user", "p", 4), (None, 1, "user", "q", 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int").withColumn("parts", chat.text_parts(F.col("text"))).withColumn("turns", F.lit(1))
+    back = {r.conv_id: [m.text for m in r.messages] for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert back == {1: ["a", "a", "b"], 2: ["x" * 200_000 + "<>"], None: ["p", "q"]}
+
+
+def test_matrices_of_odd_rows(spark):
+    long = "word " * 30_000 + "x" * 50_000
+    df = spark.createDataFrame([(1, long, 0), (None, None, 1), (1, long, 2)], "doc_id long, text string, sequence_id int")
+    back = packing.unpack_matrices(packing.pack_matrices(df, queries.TOKENIZER)).collect()
+    ids = encode.Encoder(queries.TOKENIZER).ids([long])[0] + bytes(4)
+    assert sum(len(r.ids) for r in back) == 2 * len(ids) + 4
+    assert packing.pack_matrices(df.limit(0), queries.TOKENIZER).count() == 0
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
