@@ -453,18 +453,22 @@ def utilisation_ratio(spark, d):
 # text, numbers
 
 
-@query(r"""SELECT page_id, array_to_string(regexp_extract_all(url, '(http://|https://)([a-zA-Z0-9_!~*''().&=+$%-]+)'), ' ') AS urls FROM pages""")
+#: The same patterns as SQL strings.
+_URL, _MENTION = (p.replace("'", "''") for p in (fx.URL_PATTERN, fx.MENTION_PATTERN))
+
+
+@query(f"SELECT page_id, array_to_string(regexp_extract_all(url, '{_URL}'), ' ') AS urls FROM pages")
 def extract_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(fx.extract_urls(F.col("url")), " ").alias("urls"))
 
 
-@query(r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '@([a-zA-Z0-9_-]+)', 1), ' ') AS mentions FROM documents WHERE len(regexp_extract_all(text, '@([a-zA-Z0-9_-]+)', 1)) > 0""")
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_MENTION}', 1), ' ') AS mentions FROM documents WHERE len(regexp_extract_all(text, '{_MENTION}', 1)) > 0")
 def extract_mentions(spark, d):
     m = fx.extract_mentions(F.col("text"))
     return table(spark, d, "documents").filter(F.size(m) > 0).select("doc_id", F.array_join(m, " ").alias("mentions"))
 
 
-@query(r"""SELECT page_id, regexp_replace('see ' || url, '(http://|https://)([a-zA-Z0-9_!~*''().&=+$%-]+)', 'http://short-url/' || substr(sha256(regexp_extract(url, '(http://|https://)([a-zA-Z0-9_!~*''().&=+$%-]+)')), 1, 10)) AS text FROM pages""")
+@query(f"SELECT page_id, regexp_replace('see ' || url, '{_URL}', '{fx.SHORT_URL_PREFIX}' || substr(sha256(regexp_extract(url, '{_URL}')), 1, 10)) AS text FROM pages")
 def shorten_urls(spark, d):
     t = table(spark, d, "pages").select("page_id", F.concat(F.lit("see "), "url").alias("text"))
     return t.select("page_id", fx.shorten_text(F.col("text"), F.transform(fx.extract_urls(F.col("text")), lambda u: fx.short_url(u))).alias("text"))
