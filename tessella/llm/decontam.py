@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 #: Benchmark items, and their words, handled at a time: this bounds what is sent to tasks (a block's scores take at most
 #: 4 * RANK bytes a word, 64 MB); further blocks scan the documents again.
 ITEMS, WORDS = 4096, 1 << 16
-#: Latent dimensions, and so many items at most are decomposed together: a part has a dimension for each of its items,
-#: and none of an item's weight is lost. Extra columns and power iterations of the randomised decomposition.
-RANK, EXTRA, POWER = 256, 10, 2
+#: Latent dimensions, and so many items (of so many words in all) at most are decomposed together: a part has a dimension
+#: for each of its items, and none of an item's weight is lost. Extra columns and power iterations of the randomised
+#: decomposition, whose state is at most PART * (RANK + EXTRA) numbers, 35 MB.
+RANK, PART, EXTRA, POWER = 256, 1 << 14, 10, 2
 #: Words in a row that are summed up as one; window lengths in such rows, carried on by halves up to the longest item; a
 #: window moves by a row, or by an eighth of its length.
 ROW, WINDOWS = 8, (2, 4, 6, 8)
@@ -305,11 +306,14 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, it
 def _block(docs: DataFrame, text: str, items: list[tuple[int, list[str]]]) -> Block:
     vocabulary = Vocabulary(items)
     documents, df = document_counts(docs, text, vocabulary)
-    parts = []
-    for k in range(0, len(items), RANK):
-        part = Vocabulary(items[k : k + RANK])
-        part.weigh(documents, df[vocabulary.places(list(part.number))])
-        parts.append(_index(docs, part))
+    parts, part = [], []
+    for item in [*items, None]:
+        if part and (item is None or len(part) == RANK or sum(len(ws) for _, ws in part) + len(item[1]) > PART):
+            own = Vocabulary(part)
+            own.weigh(documents, df[vocabulary.places(list(own.number))])
+            parts.append(_index(docs, own))
+            part = []
+        part.append(item)
     return Block(vocabulary, parts)
 
 

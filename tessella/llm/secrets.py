@@ -181,10 +181,10 @@ _LOOKS = {
 
 def _decoys(text: str, wanted: list[tuple[int, str]]) -> list[tuple[int, str, float]]:
     """(length, encoding, p-value) of strings made of the text's words in order: DECOYS of the length and encoding of each
-    candidate, as far as the words last, then one of each length band, its encoding by turns."""
-    names, out = list(_LOOKS), []
-    bands = [(lo + len(text) % (hi - lo), names[(len(text) + k) % len(names)]) for k, (lo, hi) in enumerate(BANDS)]
-    for kinds in (wanted * DECOYS, bands):
+    candidate, as far as the words last, then one more, its length band and encoding by turns."""
+    names, out, turn = list(_LOOKS), [], len(text)
+    lo, hi = BANDS[turn % len(BANDS)]
+    for kinds in (wanted * DECOYS, [(lo + turn % (hi - lo), names[turn // len(BANDS) % len(names)])]):
         words = _WORD.finditer(text)
         for n, encoding in kinds:
             look, parts, size = _LOOKS[encoding], [], 0
