@@ -31,12 +31,11 @@ def with_pos(df: DataFrame, keys: Sequence[str], name: str = "pos", ties: Sequen
     sizes = sorted(tuple(r) for r in done.groupBy(part.cast("int").alias("p")).agg(F.count("*").alias("n")).collect())  # one row per range
     starts, at = [], 0
     for p, n in sizes:
-        starts += [None] * (p - len(starts)) + [at]
+        starts.append((p, at))
         at += n
-    if not starts:
-        return done.withColumn(name, F.lit(0).cast("long")).drop(place)
-    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), part.cast("int") + 1)
-    return done.withColumn(name, start + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(place)
+    table = df.sparkSession.createDataFrame(starts, "__range int, __start long")
+    placed = done.withColumn("__range", part.cast("int")).join(F.broadcast(table), "__range")
+    return placed.select(*columns, (F.col("__start") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def scan_desc(df: DataFrame, keys: Sequence[str], name: str = "pos") -> DataFrame:

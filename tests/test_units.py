@@ -127,6 +127,15 @@ def test_sources(spark, tmp_path):
     assert px.shape == (224, 224, 3) and px.min() == 0 and px.max() == 1
 
 
+def test_images_on_spark(spark):
+    rng = np.random.default_rng(1)
+    raw = [rng.integers(0, 256, (h, w, 3), dtype=np.uint8) for h, w in ((300, 260), (40, 500), (10, 10))]
+    df = spark.createDataFrame([(i, x.shape[0], x.shape[1], bytearray(x.tobytes())) for i, x in enumerate(raw)], "id long, height int, width int, content binary")
+    got = {r.id: np.array(r.pixels).reshape(r.height, r.width, 3) for r in images.prepare_images(df).collect()}
+    for i, x in enumerate(raw):
+        assert np.allclose(got[i], images.prepare(x), atol=1e-6) and got[i].shape == (min(224, x.shape[0]), min(224, x.shape[1]), 3)
+
+
 def test_streams_match_batch(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("delta", T.LongType())])
     rows = [(i % 3, i // 3, i * i % 7) for i in range(60)]
