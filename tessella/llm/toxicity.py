@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.labelmodel import LabelModel, fit_linear
+from tessella.llm.shingles import mix, shingle_sets
 
 # Lexicons of insults by what they attack.
 INSULTS = {
@@ -24,8 +25,9 @@ INSULTS = {
 GROUPS = {"w": 4, "4": 2, "5": 2, "6": 2}
 PATTERNS = ("leet", "shouting", "marks")
 #: The learnt lexicons' terms and the classifier's features come from about LABELLED labelled rows, chosen by hash; the
-#: bound is on the fit alone. A lexicon takes the terms whose log-odds are this high, and this many standard errors.
-LABELLED, ODDS, ERRORS, SEEN = 20_000, 2.0, 2.5, 4
+#: bound is on the fit alone. A term counts if its log-odds are this far from 0, and the labels of the rows that hold it
+#: are this unlikely by chance (the root of twice the log-likelihood ratio, like a standard normal).
+LABELLED, ODDS, CHANCE = 20_000, 2.0, 5.0
 _LEET = re.compile(r"\w*[a-z][013457@$]+[a-z]\w*")
 MARKS = ".,;:!?\"'()[]|*%&#$"
 
@@ -129,10 +131,27 @@ def _count_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "term string, pos double, neg double").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Of copies and near copies one row each, for their words would else count as often as there are copies: of the rows
+    that share the least of their hashed shingles, by one hash and then by another, the first by text stays."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = shingle_sets(list(b["text"]))
+            least = [[int(mix(x ^ np.uint64(salt)).view(np.int64).min()) if len(x) else None for x in sets] for salt in (1, 2)]
+            yield b.assign(a=pd.array(least[0], "Int64"), b=pd.array(least[1], "Int64"))
+
+    keyed = rows.mapInPandas(run, "text string, y double, a long, b long")
+    first = keyed.groupBy("a").agg(F.min(F.struct("text", "y", "b")).alias("r")).select("r.*")
+    return first.groupBy("b").agg(F.min(F.struct("text", "y")).alias("r")).select("r.*")
+
+
 def _odds(p: float, n: float) -> tuple[Column, Column]:
-    """Log-odds of a term for label 1, of which there are p among n rows, and their standard error."""
-    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
-    return F.log(a / (p + 1)) - F.log(b / (n - p + 1)), F.sqrt(1 / a + 1 / b)
+    """Log-odds of a term for label 1, of which there are p among n rows, and how unlikely its rows' labels are."""
+    pos, neg, rate = F.col("pos"), F.col("neg"), p / n
+    part = lambda x, share: F.when(x > 0, x * F.log(x / ((pos + neg) * share))).otherwise(0.0)
+    ratio = part(pos, rate) + part(neg, 1 - rate)
+    return F.log((pos + 0.5) / (p + 1)) - F.log((neg + 0.5) / (n - p + 1)), F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", labelled: int = LABELLED) -> ToxicityModel | None:
@@ -147,14 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     share = min(1.0, labelled / max(1, total))
     picked = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     # about LABELLED ids are broadcast, whatever the size of the tables
-    sample = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(picked), id_col).select("text", F.col("y").cast("double").alias("y")).checkpoint()
+    sample = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(picked), id_col).select("text", F.col("y").cast("double").alias("y"))
+    sample = _once(sample).checkpoint()
     sums = sample.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     if not sums["n"] or not 0 < sums["p"] < sums["n"]:
         return None
     rate = sums["p"] / sums["n"]
 
-    odds, errors = _odds(sums["p"], sums["n"])
-    best = _count_terms(sample).filter((F.col("pos") >= SEEN) & (odds > ODDS) & (odds > ERRORS * errors)).select("term").collect()  # bounded by the sample
+    odds, chance = _odds(sums["p"], sums["n"])
+    best = _count_terms(sample).filter((odds > ODDS) & (chance > CHANCE)).select("term").collect()  # bounded by the sample
     voters = Voters(sorted(r["term"] for r in best))
 
     def patterns(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,8 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     softened = sample.select("text").mapInPandas(soft, "text string, y double").checkpoint()
     mass = softened.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
-    odds, errors = _odds(mass["p"], mass["n"])
-    wanted = _count_terms(softened).filter((F.col("pos") + F.col("neg") >= SEEN) & (F.abs(odds) > 1) & (F.abs(odds) > ERRORS * errors)).select("term").collect()
+    odds, chance = _odds(mass["p"], mass["n"])
+    wanted = _count_terms(softened).filter((F.abs(odds) > ODDS / 2) & (chance > CHANCE)).select("term").collect()
     features = {t: i for i, t in enumerate(sorted(r["term"] for r in wanted))}
     voters = Voters(voters.voter, features)
 
