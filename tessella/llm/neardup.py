@@ -185,8 +185,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
     are grouped like all others, and of repeated rows one stays. Texts without words are in no group, and all stay.
     """
     rows, groups = _groups(docs, text, id_col, percent, width, nameless=True)
-    held = rows.select("node", "id", "digest").join(groups.select("digest", "group"), "digest")
-    first = held.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("r")).select("r.node")
+    # copies of one set meet before the join, one row per task
+    least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("r"))
+    first = least.join(groups.select("digest", "group"), "digest").groupBy("group").agg(F.min("r").alias("r")).select("r.node")
     key, blank = free_name(docs, "node"), ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
     keyed = docs.filter(~blank).withColumn(key, F.xxhash64(F.col(id_col), F.col(text)))
     kept = keyed.join(first.withColumnRenamed("node", key), key, "left_semi").dropDuplicates([key]).drop(key)
