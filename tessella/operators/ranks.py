@@ -55,36 +55,55 @@ def find_by_order(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
 def nth_values(df: DataFrame, key: str, ns: Sequence[int], few: int = 10_000) -> list[tuple]:
     """(value, rows below it) at places of the order of one key, nulls first, without sorting the table.
 
-    Each round brackets a place by approximate percentiles of what is left, which take bounded memory, and counts
-    the rows below; a bracket shrinks to a thousandth or so. What shares a bracket of up to `few` different values comes
-    back as counts. An empty list if some place is out of range.
+    Each round brackets the places by approximate percentiles of what is left, which take bounded memory, and counts
+    the rows below; a bracket shrinks to a thousandth or so. Brackets of up to `few` rows come back as counts of their
+    values. An empty list if some place is out of range.
     """
     x = F.col(key)
     first = df.agg(F.count("*").alias("n"), F.count(x).alias("held")).first()
-    nulls = first["n"] - first["held"]
+    nulls, held = first["n"] - first["held"], df.filter(x.isNotNull())
     if any(not 0 <= n < first["n"] for n in ns):
         return []
     numeric = dict(df.select(key).dtypes)[key].split("(")[0] in {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz"}
-    out = []
-    for n in ns:
-        if n < nulls:
-            out.append((None, 0))
-            continue
-        part, below, m = df.filter(x.isNotNull()), nulls, first["held"]
-        while numeric and m > few:
-            f = (n - below) / m
-            lo, hi = part.agg(F.percentile_approx(x, [max(0.0, f - 0.001), min(1.0, f + 0.001)], 10_000)).first()[0]
-            r = part.agg(F.count_if(x < F.lit(lo)).alias("b"), F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias("m")).first()
-            if lo == hi or r["m"] == m or not below + r["b"] <= n < below + r["b"] + r["m"]:
-                break  # one value, or values that a percentile can't tell apart
-            part, below, m = part.filter((x >= F.lit(lo)) & (x <= F.lit(hi))), below + r["b"], r["m"]
-        # a bracket's values in order, as far as the place
-        for r in part.groupBy(x.alias("v")).agg(F.count("*").alias("n")).orderBy("v").toLocalIterator():
-            if n < below + r["n"]:
-                out.append((r["v"], below))
+    within = lambda b: F.lit(True) if b is None else (x >= F.lit(b[0])) & (x <= F.lit(b[1]))
+    # place: bracket (None for all rows), rows below it, rows in it
+    at: dict[int, tuple] = {n: (None, nulls, first["held"]) for n in ns if n >= nulls}
+    open_ = {n for n in at if numeric and at[n][2] > few}
+    while open_:
+        bracket = at[min(open_)][0]
+        same = sorted(n for n in open_ if at[n][0] == bracket)
+        below, m = at[same[0]][1:]
+        shares = [min(1.0, max(0.0, (n - below) / m + d)) for n in same for d in (-0.001, 0.001)]
+        part = held.filter(within(bracket))
+        cuts = part.agg(F.percentile_approx(x, shares, 10_000)).first()[0]
+        pairs = list(zip(cuts[::2], cuts[1::2], strict=True))
+        r = part.agg(*(c for i, p in enumerate(pairs) for c in (F.count_if(x < F.lit(p[0])).alias(f"b{i}"), F.count_if(within(p)).alias(f"m{i}")))).first()
+        for i, (n, p) in enumerate(zip(same, pairs, strict=True)):
+            if below + r[f"b{i}"] <= n < below + r[f"b{i}"] + r[f"m{i}"]:
+                at[n] = p, below + r[f"b{i}"], r[f"m{i}"]
+            if at[n][0] == bracket or at[n][2] <= few or p[0] == p[1]:
+                open_.discard(n)  # small enough, one value, or values that percentiles can't tell apart
+    small = [n for n in at if at[n][2] <= few]
+    counted = []
+    if small:
+        wanted = F.lit(False)
+        for b in {at[n][0] for n in small}:
+            wanted = wanted | within(b)
+        counted = sorted((r["v"], r["n"]) for r in held.filter(wanted).groupBy(x.alias("v")).agg(F.count("*").alias("n")).collect())
+    found: dict[int, tuple] = {n: (None, 0) for n in ns if n < nulls}
+    for n, (b, below, m) in at.items():
+        if m <= few:
+            values = [(v, k) for v, k in counted if b is None or b[0] <= v <= b[1]]
+        elif b is not None and b[0] == b[1]:
+            values = [(b[0], m)]
+        else:  # one value after the other, as far as the place
+            values = (tuple(r) for r in held.filter(within(b)).groupBy(x.alias("v")).agg(F.count("*").alias("n")).orderBy("v").toLocalIterator())
+        for v, k in values:
+            if n < below + k:
+                found[n] = v, below
                 break
-            below += r["n"]
-    return out
+            below += k
+    return [found[n] for n in ns]
 
 
 def occurrence(df: DataFrame, key: str, order: str = "pos", name: str = "occ") -> DataFrame:
